@@ -7,6 +7,7 @@ memory of a Python worker follows ``SLICE_BYTES`` (or the longest single documen
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         fs, path = self._fs(f"{self.base}/{name}")
         fs.delete(path, True)
@@ -72,7 +78,8 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
 
 def text_buffer(arr: pa.Array, lower_ascii: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, a blank after each, and the offsets (rows + 1); null counts as empty."""
-    joined = pc.binary_join_element_wise(pc.fill_null(arr.cast(pa.large_string()), ""), "", " ")
+    end, blank = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    joined = pc.binary_join_element_wise(pc.fill_null(arr.cast(pa.large_string()), end), end, blank)
     if isinstance(joined, pa.ChunkedArray):
         joined = joined.combine_chunks()
     offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]

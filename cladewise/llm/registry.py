@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact_dedup",)
+MODULES = ("substring_dedup", "exact_dedup")
 
 
 def _merged(name: str) -> dict:
