@@ -32,8 +32,8 @@ DEPTH = 2
 BITS_PER_BYTE = 0.5
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
 SLICE = 1 << 20
-FLUSH = 4_000_000
-HELD = 1_500_000
+FLUSH = 2_000_000
+HELD = 1_000_000
 TAG_BITS = 24
 LAST = (1 << 63) - 1
 
