@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("substring_dedup", "exact_dedup", "minhash_dedup", "decontamination", "mixing")
+MODULES = ("substring_dedup", "exact_dedup", "minhash_dedup", "decontamination", "mixing", "sharding")
 
 
 def _merged(name: str) -> dict:
