@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language_id", "toxicity", "substring_dedup", "exact_dedup", "minhash_dedup", "quality", "decontamination", "mixing", "sharding")
+MODULES = ("language_id", "toxicity", "substring_dedup", "exact_dedup", "minhash_dedup", "quality", "decontamination", "mixing", "sharding", "token_counts")
 
 
 def _merged(name: str) -> dict:
