@@ -22,6 +22,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -190,32 +191,41 @@ def _cut(width: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_text."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    own_id = F.col(id_col).cast("long")
-    # the tag tells rows apart that share an identifier
-    rows = docs.select(own_id.alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(own_id, F.lit(LAST)).alias("doc"), F.shiftrightunsigned(F.xxhash64(text_col), 64 - TAG_BITS).alias("tag"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(MIN_BITS, int(size * BITS_PER_BYTE)), max_bits)
-    log_width = (bits - 1).bit_length() - DEPTH.bit_length() + 1
+def _repeated(rows: DataFrame, width: int, log_width: int) -> Broadcast:
+    """The cells of the merged sketch that count two or more, as a broadcast bitmap."""
     n_slices = -(-(DEPTH << log_width) // SLICE)
     sketch = rows.select("text").mapInArrow(_sketch(width, log_width), "slice int, times int, cells binary")
     merged = sketch.repartition(min(n_slices, 512), "slice").sortWithinPartitions("slice").mapInArrow(_merge, "slice int, twice binary")
     twice = bytearray(n_slices * SLICE // 8)
     for s, part in merged.collect():  # n_slices rows of 128 KB: MAX_BITS at most
         twice[s * SLICE // 8 : s * SLICE // 8 + len(part)] = part
-    filter_bits = spark.sparkContext.broadcast(bytes(twice))
-    del twice
-    found = spread(rows).mapInArrow(_candidates(width, log_width, filter_bits), "k1 long, k2 int, doc long, place long, known array<int>")
+    return rows.sparkSession.sparkContext.broadcast(bytes(twice))
+
+
+def _marks(rows: DataFrame, width: int, log_width: int, twice: Broadcast) -> DataFrame:
+    """(doc, tag, marks): starts of the windows of each document that start earlier elsewhere."""
+    found = spread(rows).mapInArrow(_candidates(width, log_width, twice), "k1 long, k2 int, doc long, place long, known array<int>")
     start = F.shiftright("place", TAG_BITS)
     rank = F.rank().over(Window.partitionBy("k1", "k2").orderBy("doc", start))
     later = found.withColumn("rank", rank).filter("known is not null or rank > 1")
     tag = F.col("place").bitwiseAND(F.lit((1 << TAG_BITS) - 1))
-    marks = later.select("doc", tag.alias("tag"), F.coalesce("known", F.array(start.cast("int"))).alias("marks")).groupBy("doc", "tag").agg(F.flatten(F.collect_list("marks")).alias("marks"))
-    marks = scratch.table(marks, "marks")
-    scratch.release()
+    return later.select("doc", tag.alias("tag"), F.coalesce("known", F.array(start.cast("int"))).alias("marks")).groupBy("doc", "tag").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_text."""
+    scratch = Scratch(docs.sparkSession)
+    own_id = F.col(id_col).cast("long")
+    # the tag tells rows apart that share an identifier
+    rows = docs.select(own_id.alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(own_id, F.lit(LAST)).alias("doc"), F.shiftrightunsigned(F.xxhash64(text_col), 64 - TAG_BITS).alias("tag"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(MIN_BITS, int(size * BITS_PER_BYTE)), max_bits)
+    log_width = (bits - 1).bit_length() - DEPTH.bit_length() + 1
+    twice = _repeated(rows, width, log_width)
+    scratch.release()  # the sketches' shuffle
+    marks = scratch.table(_marks(rows, width, log_width, twice), "marks")
+    twice.unpersist()
+    scratch.release()  # the candidates' shuffle
     return rows.join(marks, ["doc", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
