@@ -3,8 +3,8 @@
 A document's set is its distinct shingles of five words (ASCII letters lower-cased). ``BANDS`` bands of ``ROWS`` MinHash values give
 candidates: a pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^40 = 2.5e-7. ``SAMPLES`` one-permutation MinHash
 samples are folded into a parity bitmap of ``ODD_BITS`` bits; the population count of the XOR of two bitmaps estimates how many
-samples differ, and so the similarity with a deviation below 0.03 near the threshold. Candidates estimated under ``LEAST`` (over four
-deviations below) go; the others are confirmed on the full sets.
+samples differ, and so the similarity, with a deviation of 0.015 to 0.025 near the threshold (by size). Candidates estimated more than
+``MARGIN`` deviations below it go; the others are confirmed on the full sets.
 
 Groups are never expanded into all their pairs. Documents with equal sets are one class. Within a band, classes are first
 linked to one class (the star), then to members of the band's largest component; only classes that still stand outside the largest
@@ -32,7 +32,7 @@ WIDTH = 5
 THRESHOLD = 75
 BANDS, ROWS = 40, 4
 SAMPLES, ODD_BITS = 512, 1024
-LEAST = 0.62
+MARGIN, ODD_NOISE = 4.5, 2.2e-4
 ROUNDS, DELEGATES = 2, 4
 LAST = (1 << 63) - 1
 
@@ -92,11 +92,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(columns, names=[c.split()[0] for c in SIGNED.split(", ")])
 
 
-def _likeness(a: str, b: str) -> Column:
-    """The similarity that two odd sketches allow: samples in common, of those of the larger set."""
+def _likely(a: str, b: str) -> tuple[Column, Column]:
+    """The similarity that two odd sketches suggest, and whether it is within ``MARGIN`` deviations of the threshold."""
     differ = sum((F.bit_count(F.col(f"{a}.o{i}").bitwiseXOR(F.col(f"{b}.o{i}"))) for i in range(ODD_BITS // 64)), F.lit(0))
     apart = F.log(F.greatest(1 - 2 * differ / float(ODD_BITS), F.lit(1e-9))) / float(np.log(1 - 2 / ODD_BITS))
-    return (F.col(f"{a}.samples") + F.col(f"{b}.samples") - apart) / 2 / F.greatest(F.col(f"{a}.samples"), F.col(f"{b}.samples"))
+    common = (F.col(f"{a}.samples") + F.col(f"{b}.samples") - apart) / 2
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    like = F.lit(THRESHOLD / 100)
+    for _ in range(3):  # samples that the union has depend on its size, which depends on the similarity
+        like = F.greatest(F.lit(0.0), common / (SAMPLES * (1 - F.exp(-both / (1 + like) / SAMPLES))))
+    taken, size = F.greatest(F.col(f"{a}.samples"), F.col(f"{b}.samples")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    spread_ = F.sqrt(0.1875 / taken * (1 - taken / size) + ODD_NOISE * taken / SAMPLES + 2 / (taken * taken))
+    return like, like >= THRESHOLD / 100 - MARGIN * spread_
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,11 +119,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a class goes by a number of its own, as two classes may have one smallest identifier
     sketch = scratch.table(sketch.select(F.xxhash64("s1", "s2", "n").alias("c"), "id", "n", "s1", "s2", "samples", *odd, "bands"), "sketch")
 
-    every = sketch.select("c", F.explode("bands").alias("key"))
+    every = sketch.select("c", F.posexplode("bands").alias("band", "key"))
     shared = every.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("star")).filter("size > 1")
-    banded = scratch.table(every.join(shared, "key").select("key", "c", "star"), "banded")
+    banded = scratch.table(every.join(shared, "key").select("key", "band", "c", "star"), "banded")
     members = banded.select("c").distinct()
-    some = scratch.table(sketch.drop("bands").join(members, "c", "left_semi"), "some")
+    some = scratch.table(sketch.join(members, "c", "left_semi"), "some")
     chosen = some.select("id", "c", "s1", "s2")
     texts = rows.join(chosen, rows.doc_id == chosen.id).select(F.col("c").alias("id"), "text", "s1", "s2")
     sets = scratch.table(_matching(texts), "sets")
@@ -129,33 +136,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return scratch.table(linked.select("a", "b"), name)
 
     def estimated(pairs: DataFrame, best: int) -> DataFrame:
-        """Of the candidates (a, b) of each a, the ``best`` likeliest over ``LEAST``."""
-        x, y = some.drop("id", "n", "s1", "s2").alias("x"), some.drop("id", "n", "s1", "s2").alias("y")
-        like = pairs.join(x, F.col("a") == F.col("x.c")).join(y, F.col("b") == F.col("y.c")).select("a", "b", _likeness("x", "y").alias("like")).filter(F.col("like") >= LEAST)
+        """Of the candidates (a, b) of each a, the ``best`` likeliest that the sketches allow."""
+        x, y = some.select("c", "n", "samples", *odd).alias("x"), some.select("c", "n", "samples", *odd).alias("y")
+        value, enough = _likely("x", "y")
+        like = pairs.join(x, F.col("a") == F.col("x.c")).join(y, (F.col("b") == F.col("y.c")) & enough).select("a", "b", value.alias("like"))
         w = Window.partitionBy("a").orderBy(F.desc("like"), "b")
         return like.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= best).select("a", "b")
 
     def grouped(links: DataFrame, name: str) -> DataFrame:
         """Band rows with the component of each class, of bands that more than one component shares; ``major``: the largest there."""
         of = components(scratch, links, name)
-        row = banded.join(of, banded.c == of.id, "left").select("key", "c", F.coalesce("component", "c").alias("g"))
+        row = banded.join(of, banded.c == of.id, "left").select("key", "band", "c", F.coalesce("component", "c").alias("g"))
         count = row.groupBy("key", "g").agg(F.count("*").alias("size"))
         major = count.groupBy("key").agg(F.max_by("g", F.struct("size", "g")).alias("major"), F.count("*").alias("groups")).filter("groups > 1").select("key", "major")
         return scratch.table(row.join(major, "key"), f"{name}-rows")
 
     links = confirmed(estimated(banded.filter("c <> star").select(F.col("c").alias("a"), F.col("star").alias("b")).distinct(), 3), "links-0")
     for r in range(ROUNDS):
+        scratch.release()
         row = grouped(links, f"round-{r}")
         picks = [F.min_by("c", F.xxhash64("c", F.lit(r * DELEGATES + i))) for i in range(DELEGATES)]
         heads = row.filter("g = major").groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("heads"))
         near = row.filter("g <> major").join(heads, "key").select(F.col("c").alias("a"), F.explode("heads").alias("b")).distinct()
         links = scratch.table(links.unionByName(confirmed(estimated(near, 3), f"more-{r}")), f"links-{r + 1}")
+    scratch.release()
     row = grouped(links, "rest")
-    slim = some.drop("id", "n", "s1", "s2")
-    full = row.join(slim, "c")
+    full = row.join(some.select("c", "n", "samples", "bands", *odd), "c")
     outer, inner = full.filter("g <> major").alias("x"), full.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.g") != F.col("y.g")) & ((F.col("y.g") == F.col("y.major")) | (F.col("x.c") < F.col("y.c")))
-    pairs = outer.join(inner, meet & (_likeness("x", "y") >= LEAST)).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+    # once for each pair: in the first band that it shares
+    earlier = F.arrays_overlap(*[F.slice(F.col(f"{t}.bands"), F.lit(1), F.col("x.band")) for t in "xy"])
+    pairs = outer.join(inner, meet & _likely("x", "y")[1] & ~earlier).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     links = links.unionByName(confirmed(pairs, "links-rest"))
     of = components(scratch, links, "final")
 
