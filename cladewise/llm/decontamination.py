@@ -63,49 +63,75 @@ class _Table:
         return of, self.value[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
 
 
+def _matches(text: pa.Array, model, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, item and number of shared shingles of each confirmed match."""
+    _, sizes, sign, whole = model
+    h, of, _ = shingles(text, WIDTH)
+    hit, _ = sign.find(h)
+    near = np.isin(of, np.unique(of[hit]))  # whole sets of the documents found
+    h, of = h[near], of[near]
+    at, item = whole.find(h)
+    pair, shared = np.unique(of[at] * np.int64(len(sizes)) + item, return_counts=True)
+    row, item = pair // len(sizes), pair % len(sizes)
+    keep = shared >= share * sizes[item] - 1e-9
+    return row[keep], item[keep], shared[keep]
+
+
 def _search(model, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, sign, whole = model.value
+        ids, sizes, *_ = model.value
         for batch in batches:
             for part in slices(batch):
-                h, of, offsets = shingles(part.column("text"), WIDTH)
-                hit, _ = sign.find(h)
-                rows = np.unique(of[hit])
-                if not len(rows):
-                    continue
-                # whole sets of the documents found
-                near = np.isin(of, rows)
-                h, of = h[near], of[near]
-                at, item = whole.find(h)
-                pair, shared = np.unique(of[at] * np.int64(len(sizes)) + item, return_counts=True)
-                row, item = pair // len(sizes), pair % len(sizes)
-                keep = shared >= share * sizes[item] - 1e-9
-                row, item, shared = row[keep], item[keep], shared[keep]
+                row, item, shared = _matches(part.column("text"), model.value, share)
                 columns = [part.column("doc_id").take(pa.array(row)), pa.array([ids[i] for i in item], pa.int64()), pa.array(shared), pa.array(sizes[item]), pa.array(shared / sizes[item])]
                 yield pa.record_batch(columns, names=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
 
-def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
-    """One row per document and item that it holds to ``share`` or more: doc_id, item_id, n_shared, n_item, containment."""
-    spark = docs.sparkSession
+def _clean(model, share: float, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                keep = np.ones(part.num_rows, bool)
+                keep[_matches(part.column(text), model.value, share)[0]] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def _models(items: DataFrame, item_col: str, item_text: str, share: float, block: int) -> Iterator:
+    """Broadcast signatures and sets, block by block of the items."""
+    spark = items.sparkSession
     sets = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_sets, "item_id long, set array<long>")
     sets = Scratch(spark).table(sets.filter(F.size("set") > 0), "items")
     blocks = -(-(sets.agg(F.sum(F.size("set"))).first()[0] or 0) // block)
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    found = spark.createDataFrame([], FOUND)
     for b in range(blocks):
         own = sets.filter(F.pmod(F.xxhash64("set"), F.lit(blocks)) == b).collect()
         each = [np.array(r["set"], np.int64).view(np.uint64) for r in own]  # ascending: the least values come first
-        least = [h[: signature_size(len(h), share)] for h in each]
-        number = lambda parts: (np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
         if own:
-            model = spark.sparkContext.broadcast(([r["item_id"] for r in own], np.array([len(h) for h in each]), _Table(*number(least)), _Table(*number(each))))
-            found = found.unionByName(rows.mapInArrow(_search(model, share), FOUND))
+            least = [h[: signature_size(len(h), share)] for h in each]
+            number = lambda parts: (np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+            yield spark.sparkContext.broadcast(([r["item_id"] for r in own], np.array([len(h) for h in each]), _Table(*number(least)), _Table(*number(each))))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """One row per document and item that it holds to ``share`` or more: doc_id, item_id, n_shared, n_item, containment."""
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    found = docs.sparkSession.createDataFrame([], FOUND)
+    for model in _models(items, item_col, item_text, share, block):
+        found = found.unionByName(rows.mapInArrow(_search(model, share), FOUND))
     return found
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, all columns, that hold no item to ``share`` or more."""
+    docs = spread(docs)
+    for model in _models(items, item_col, item_text, share, block):
+        docs = docs.mapInArrow(_clean(model, share, text_col), docs.schema)
+    return docs
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -195,6 +195,17 @@ def _matching(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
 
 
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each component, that of the smallest identifier.
+
+    Rows that share an identifier stay or go together; of those with one text too, one stays.
+    """
+    ids = near_duplicates(docs, id_col, text_col).filter("kept or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
+    joined = docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(*docs.columns))
+    return joined.withColumn("_nth", F.row_number().over(again)).filter(F.col("_nth") == 1).select(docs.columns)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import documents, mix, slices, span_hashes, spread, text_buffer, words
 from .hashed_text import bounded_sample
@@ -34,7 +35,6 @@ RATE = 0.5
 L2 = 1e-6
 KEEP = 0.5
 FEATURES = "id long, grade int, features array<int>, counts array<int>, n int"
-SCORED = "doc_id long, held_out boolean, expected_grade double, tail_prob double"
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = ord("a")
@@ -140,26 +140,41 @@ def fit(rated: DataFrame, per_grade: int = PER_GRADE, epochs: int = EPOCHS) -> t
     return grades, model.w, model.thresholds(), prior / prior.max()
 
 
-def _score(model, good: int):
+def _score(model, good: int, text: str, carried: list[str]):
+    """Adds the expected grade and the tail probability to the carried columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grades, w, thresholds, prior = model.value
         values = np.array(grades or [good], float)
         for batch in batches:
-            for part in slices(batch):
-                feature, of, n = _features(part.column("text"))
+            for part in slices(batch, text):
+                feature, of, n = _features(part.column(text))
                 p = probabilities(np.bincount(of, w[feature], part.num_rows) / np.maximum(n, 1), thresholds, prior)
-                yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(p @ values), pa.array(p[:, values >= good].sum(axis=1))], names=["doc_id", "held_out", "expected_grade", "tail_prob"])
+                yield pa.record_batch([*(part.column(c) for c in carried), pa.array(p @ values), pa.array(p[:, values >= good].sum(axis=1))], names=[*carried, "expected_grade", "tail_prob"])
 
     return run
 
 
+def _scored(rows: DataFrame, ratings: DataFrame, held_out: Column, good: int, id_col: str, text_col: str, grade_col: str, per_grade: int, carried: list[str]) -> DataFrame:
+    given = ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).filter("id is not null and grade is not null")
+    rated = rows.filter(~held_out).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(given, "id")
+    model = rows.sparkSession.sparkContext.broadcast(fit(rated, per_grade))
+    schema = StructType([*(f for f in rows.schema if f.name in carried), StructField("expected_grade", DoubleType()), StructField("tail_prob", DoubleType())])
+    return spread(rows).mapInArrow(_score(model, good, text_col, [f.name for f in schema[:-2]]), schema).withColumn("kept", F.col("tail_prob") >= KEEP)
+
+
 def rate_quality(docs: DataFrame, ratings: DataFrame, held_out: Column, good: int = 1, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", per_grade: int = PER_GRADE) -> DataFrame:
     """One row per document: doc_id, held_out, expected_grade, tail_prob, kept. Learns from ratings of rows that are not held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
-    given = ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).filter("id is not null and grade is not null")
-    rated = rows.filter("not held_out").select(F.col("doc_id").alias("id"), "text").join(given, "id")
-    model = docs.sparkSession.sparkContext.broadcast(fit(rated, per_grade))
-    return spread(rows).mapInArrow(_score(model, good), SCORED).withColumn("kept", F.col("tail_prob") >= KEEP)
+    given = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).alias("grade"))
+    return _scored(rows, given, F.col("held_out"), good, "doc_id", "text", "grade", per_grade, ["doc_id", "held_out"])
+
+
+def keep_quality(docs: DataFrame, ratings: DataFrame, good: int = 1, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", per_grade: int = PER_GRADE) -> DataFrame:
+    """The rows of docs that are kept, all columns; extra columns named expected_grade, tail_prob or kept are left out of the result."""
+    docs = docs.drop("expected_grade", "tail_prob", "kept")
+    scored = _scored(docs, ratings, F.lit(False), good, id_col, text_col, grade_col, per_grade, docs.columns)
+    return scored.filter("kept").select(docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

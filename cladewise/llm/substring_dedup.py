@@ -197,9 +197,11 @@ def _repeated(rows: DataFrame, width: int, log_width: int) -> Broadcast:
     sketch = rows.select("text").mapInArrow(_sketch(width, log_width), "slice int, times int, cells binary")
     merged = sketch.repartition(min(n_slices, 512), "slice").sortWithinPartitions("slice").mapInArrow(_merge, "slice int, twice binary")
     twice = bytearray(n_slices * SLICE // 8)
-    for s, part in merged.collect():  # n_slices rows of 128 KB: MAX_BITS at most
+    parts = merged.collect()  # n_slices rows of 128 KB: MAX_BITS at most
+    while parts:
+        s, part = parts.pop()
         twice[s * SLICE // 8 : s * SLICE // 8 + len(part)] = part
-    return rows.sparkSession.sparkContext.broadcast(bytes(twice))
+    return rows.sparkSession.sparkContext.broadcast(twice)
 
 
 def _marks(rows: DataFrame, width: int, log_width: int, twice: Broadcast) -> DataFrame:
