@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import queries_s, queries_t
+
 
 def queries() -> dict:
-    return {}
+    return queries_t.QUERIES | queries_s.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return queries_t.SQL | queries_s.SQL
