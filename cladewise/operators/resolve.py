@@ -99,9 +99,9 @@ def hit_strings(reads: DataFrame, hits: DataFrame, keys: list[str], ambiguous: D
     return out.select(*keys, F.when(F.col("n2").isNull(), whole(1)).otherwise(F.concat(whole(1), F.lit(" |:| "), whole(2))).alias("hit_string"))
 
 
-def classification_lines(calls: DataFrame, strings: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, status, read_id, taxid, seq_len, hit_string: one line per read."""
-    return calls.join(strings, keys).select(*keys, "status", trim_pair(F.col("read_id")).alias("read_id"), F.col("call").alias("taxid"), "seq_len", "hit_string")
+def classification_lines(calls: DataFrame, strings: DataFrame, keys: list[str], carried: list[str] = ()) -> DataFrame:
+    """keys, carried columns of calls, status, read_id, taxid, seq_len, hit_string: one line per read."""
+    return calls.join(strings, keys).select(*keys, *carried, "status", trim_pair(F.col("read_id")).alias("read_id"), F.col("call").alias("taxid"), "seq_len", "hit_string")
 
 
 def append_names(lines: DataFrame, report: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ def classify_documents(spark, sf_dir):
     """The whole classification of documents: minimizers, index, look-up, calls, hit strings."""
     reads, hits, _, calls = classified(spark, sf_dir)
     strings = resolve.hit_strings(reads.select("read_index", "n1", "n2"), hits, ["read_index"])
-    return resolve.classification_lines(calls, strings, ["read_index", "file_index"]).drop("read_index")
+    return resolve.classification_lines(calls, strings, ["read_index"], ["file_index"]).drop("read_index")
 
 
 @query(f"""with {CALLS_SQL}, direct as (select call as taxid, count(*) as reads from calls where call > 0 group by 1),

@@ -221,7 +221,7 @@ LINES_SQL = f"{calls_sql()}{HIT_STRING_SQL.removeprefix(HITS_SQL)}, lines_out as
 @query(f"{LINES_SQL} select * from lines_out")
 def classify_output(spark, sf_dir):
     calls = _calls(spark, sf_dir).withColumn("seq_len", F.col("n").cast("string"))
-    return resolve.classification_lines(calls, _hit_strings(spark, sf_dir), ["read_index"]).join(reads_t(spark, sf_dir).select("read_index", F.col("file_index")), "read_index").select("file_index", "status", "read_id", "taxid", "seq_len", "hit_string")
+    return resolve.classification_lines(calls, _hit_strings(spark, sf_dir), ["read_index"], ["file_index"]).drop("read_index")
 
 
 @query(f"{calls_sql()}, names as (select taxid, name from tree where taxid in (select anc from closure join calls on taxid = call) union all select 0, 'unclassified') select read_index, call as taxid, coalesce(name, 'NA') as name from calls left join names on taxid = call")

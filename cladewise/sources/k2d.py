@@ -151,9 +151,9 @@ def write_pages(cells: DataFrame, directory: str, capacity: int, page_cells: int
     n_pages = -(-capacity // page_cells)
     placed = cells.withColumn("page", F.floor(F.col("idx") / page_cells).cast("long"))
 
-    def pack(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
         page = key[0].as_py()
-        table = pa.Table.from_batches(list(batches)).sort_by([("idx", "ascending"), ("cell", "ascending")])
+        table = table.sort_by([("idx", "ascending"), ("cell", "ascending")])
         size = min(page_cells, capacity - page * page_cells)
         if table.num_rows > size:
             raise ValueError(f"page {page + 1}: {table.num_rows} entries for {size} cells")
@@ -162,7 +162,7 @@ def write_pages(cells: DataFrame, directory: str, capacity: int, page_cells: int
             while out[place]:
                 place = (place + 1) % size
             out[place] = cell
-        yield pa.record_batch([pa.array([page]), pa.array([struct.pack(PAGE_LAYOUT, page + 1, size) + out.tobytes()], pa.binary())], names=["page", "content"])
+        return pa.table([pa.array([page]), pa.array([struct.pack(PAGE_LAYOUT, page + 1, size) + out.tobytes()], pa.binary())], names=["page", "content"])
 
     packed = placed.select("page", "idx", "cell").groupBy("page").applyInArrow(pack, "page long, content binary")
     done = set()
