@@ -44,9 +44,14 @@ def distinct(feature: np.ndarray, of: np.ndarray, bits: int) -> tuple[np.ndarray
     return both & (1 << bits) - 1, both >> bits
 
 
-def bounded_sample(rows: DataFrame, by: str, limit: int) -> DataFrame:
-    """Of labelled rows (id, label columns), at most ``limit`` of each value of ``by``: those of the least hashes."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64("id", F.lit(9)), "id")
-    return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= limit).drop("nth")
-
-
+def labelled_sample(rows: DataFrame, given: DataFrame, label: str, limit: int) -> tuple[dict[int, int], DataFrame]:
+    """How many labelled rows each label has, and (id, label, text) of at most ``limit`` of each: those of the least hashes.
+
+    rows (id, text) meet the labels by identifier alone; texts are then read for the sample's identifiers, which are broadcast
+    (``limit`` for each label), so no text is shuffled.
+    """
+    known = rows.select("id").join(given, "id")
+    count = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}
+    w = Window.partitionBy(label).orderBy(F.xxhash64("id", F.lit(9)), "id")
+    chosen = known.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= limit).select("id", label).distinct()
+    return count, rows.join(F.broadcast(chosen), "id").select("id", label, "text")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import documents, mix, slices, span_hashes, spread, text_buffer, words
-from .hashed_text import bounded_sample
+from .hashed_text import labelled_sample
 from .language_id import fold
 
 BITS = 18
@@ -121,14 +121,13 @@ def probabilities(score: np.ndarray, thresholds: np.ndarray, prior: np.ndarray)
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(rated: DataFrame, per_grade: int = PER_GRADE, epochs: int = EPOCHS) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Grades in order, weights, thresholds and prior weights of the grades, from (id, text, grade)."""
-    count = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
+def fit(rows: DataFrame, given: DataFrame, per_grade: int = PER_GRADE, epochs: int = EPOCHS) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Grades in order, weights, thresholds and prior weights of the grades, from rows (id, text) and ratings (id, grade)."""
+    count, sample = labelled_sample(rows, given, "grade", per_grade)
     grades = sorted(count)
     if len(grades) < 2:
         return grades, np.zeros(1 << BITS), np.zeros(0), np.ones(1)
-    sample = rated.join(F.broadcast(bounded_sample(rated.select("id", "grade"), "grade", per_grade)), ["id", "grade"])
-    rows = sorted(spread(sample.select("id", "grade", "text")).mapInArrow(_extract, FEATURES).toPandas().itertuples(index=False), key=lambda r: (r.id * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r.grade))
+    rows = sorted(spread(sample).mapInArrow(_extract, FEATURES).toPandas().itertuples(index=False), key=lambda r: (r.id * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r.grade))
     number = {g: i for i, g in enumerate(grades)}
     each = [(np.asarray(r.features), np.asarray(r.counts) / max(1, r.n), number[r.grade]) for r in rows]
     model = CumulativeLink(len(grades))
@@ -157,8 +156,8 @@ def _score(model, good: int, text: str, carried: list[str]):
 
 def _scored(rows: DataFrame, ratings: DataFrame, held_out: Column, good: int, id_col: str, text_col: str, grade_col: str, per_grade: int, carried: list[str]) -> DataFrame:
     given = ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).filter("id is not null and grade is not null")
-    rated = rows.filter(~held_out).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(given, "id")
-    model = rows.sparkSession.sparkContext.broadcast(fit(rated, per_grade))
+    learned = rows.filter(~held_out).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    model = rows.sparkSession.sparkContext.broadcast(fit(learned, given, per_grade))
     schema = StructType([*(f for f in rows.schema if f.name in carried), StructField("expected_grade", DoubleType()), StructField("tail_prob", DoubleType())])
     return spread(rows).mapInArrow(_score(model, good, text_col, [f.name for f in schema[:-2]]), schema).withColumn("kept", F.col("tail_prob") >= KEEP)
 

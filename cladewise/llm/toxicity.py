@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, spread
-from .hashed_text import bounded_sample, distinct, grams
+from .common import documents, mix, slices, spread
+from .hashed_text import distinct, grams, labelled_sample
 from .language_id import fold
 
 BITS = 22
@@ -40,7 +40,7 @@ class Ftrl:
     """Weights by coordinate: w = -(z - sign(z) L1) / ((BETA + sqrt(n)) / ALPHA + L2) where |z| exceeds L1, else 0."""
 
     def __init__(self, bits: int = BITS):
-        self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
+        self.z, self.n = np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.float32)
         self.bias, self.bias_n = 0.0, 0.0
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
@@ -67,22 +67,27 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("id"), part.column("label"), lists], names=["id", "label", "features"])
 
 
-def fit(labelled: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Numbers and weights of the features that have one, and the intercept, from (id, text, label)."""
-    count = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+def fit(rows: DataFrame, given: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Numbers and weights of the features that have one, and the intercept, from rows (id, text) and labels (id, label)."""
+    count, sample = labelled_sample(rows, given, "label", per_class)
     empty = np.zeros(0, np.int64), np.zeros(0)
     if not (count.get(0) and count.get(1)):
         return *empty, 35.0 if count.get(1) else -35.0
-    sample = labelled.join(F.broadcast(bounded_sample(labelled.select("id", "label"), "label", per_class)), ["id", "label"])
-    rows = sorted(spread(sample.select("id", "label", "text")).mapInArrow(_extract, FEATURES).toPandas().itertuples(index=False), key=lambda r: (r.id * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r.label))
-    each = [np.asarray(r.features) for r in rows]
-    often = np.bincount(np.concatenate(each), minlength=1 << BITS) >= MIN_DOCS
-    each = [f[often[f]] for f in each]
+    found = spread(sample).mapInArrow(_extract, FEATURES).toArrow()
+    ids, labels = found["id"].to_numpy(), found["label"].to_numpy()
+    lists = found["features"].combine_chunks()
+    size, feature = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    often = np.bincount(feature, minlength=1 << BITS) >= MIN_DOCS
+    keep = often[feature]
+    feature, of = feature[keep], np.repeat(np.arange(len(ids)), size)[keep]
+    bounds = np.searchsorted(of, np.arange(len(ids) + 1))
+    del found, lists, keep, of, often
+    order = np.lexsort((labels, mix(ids.astype(np.uint64))))
     model = Ftrl()
     for _ in range(epochs):
-        for features, r in zip(each, rows, strict=True):
-            model.learn(features, r.label)
-    drawn = [sum(r.label == y for r in rows) for y in (0, 1)]
+        for i in order:
+            model.learn(feature[bounds[i] : bounds[i + 1]], int(labels[i]))
+    drawn = np.bincount(labels, minlength=2)
     bias = model.bias + np.log(count[1] / count[0]) - np.log(drawn[1] / drawn[0])
     at = np.flatnonzero(np.abs(model.z) > L1)
     return at, model.weights(at), float(bias)
@@ -108,8 +113,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     """One row per document: doc_id, held_out, score, predicted. Learns from the labels of rows that are not held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     given = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
-    labelled = rows.filter("not held_out").select(F.col("doc_id").alias("id"), "text").join(given, "id")
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled, per_class))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows.filter("not held_out").select(F.col("doc_id").alias("id"), "text"), given, per_class))
     return spread(rows).mapInArrow(_score(model), SCORED).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
