@@ -186,3 +186,6 @@ def report_documents(spark, sf_dir):
     """The report of that classification."""
     _, _, tree, calls = classified(spark, sf_dir)
     return report.kreport(tree, report.clade_counts(calls, tree), report.totals(calls))
+
+
+QUERIES["minimizers"], SQL["minimizers"] = QUERIES.pop("minimizers_kernel"), SQL.pop("minimizers_kernel")
