@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, unit
+from .common import Scratch, documents, unit
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
@@ -59,17 +59,19 @@ def poisson_table(rates: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The columns of docs, and copy (from 1), n_copies, place; rows shuffled globally."""
-    docs = docs.drop("copy", "n_copies", "place")
-    own = [c for c in docs.columns]
+    own = [c for c in docs.columns if c not in ("copy", "n_copies", "place")]
     table = poisson_table(repetition_rates(docs, weights, source_col, text_col)).select("mix_source", "parts", "cdf")
+    table = Scratch(docs.sparkSession).table(table.coalesce(1), "rates")  # its size is then known, and with it the kind of join
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    draw = lambda part: F.size(F.filter("cdf", lambda c: c <= unit(key, part, seed=seed)))
+    # the row travels as one column, so names of its own cannot clash with those used here
+    rows = docs.select(F.struct(*own).alias("row"), key.alias("key"), F.col(source_col).alias("of"))
+    draw = lambda part: F.size(F.filter("cdf", lambda c: c <= unit(F.col("key"), part, seed=seed)))
     copies = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + draw(part))
-    drawn = docs.join(table, docs[source_col].eqNullSafe(table["mix_source"])).withColumn("n_copies", copies).filter("n_copies > 0")
-    each = drawn.select(*own, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-place"), key, F.col("copy").cast("string"))), 1, 13), 16, 10).cast("long")
+    drawn = rows.join(table, F.col("of").eqNullSafe(F.col("mix_source"))).withColumn("n_copies", copies).filter("n_copies > 0")
+    each = drawn.select("row", "key", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-place"), "key", F.col("copy").cast("string"))), 1, 13), 16, 10).cast("long")
     placed = each.withColumn("place", place)
-    return placed.repartition("place").sortWithinPartitions("place", "copy").select(*own, "copy", "n_copies", "place")
+    return placed.repartition("place").sortWithinPartitions("place", "copy").select(*[F.col("row")[c].alias(c) for c in own], "copy", "n_copies", "place")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
