@@ -3,7 +3,7 @@
 Linked rows are the members of a hub; the operator takes any (row, hub) table, and by default a hub is a text and its members are the rows
 with that text. Rows start in shards dealt by hash. In each step the members of every hub learn in which shard most of them are
 and ask to move there. How many may go from a shard to another is a quota: as many as come the other way, and a share of what the
-target's capacity still allows (rows without links give way at the end, so they take none of it). Small hubs are admitted whole, large ones member by member, so one that exceeds a shard is cut only where the
+target's capacity still allows (``SLACK`` above an even share; rows without links give way at the end, so they take none of it). Small hubs are admitted whole, large ones member by member, so one that exceeds a shard is cut only where the
 capacity demands it. At the end rows in excess of a shard's exact size go to the shards that lack some, rows without links first.
 
 The law is ``rows``: counts differ by one at most. Ranks come from prefix sums over counts of small buckets and a row number
@@ -22,8 +22,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents, rank_buckets
 
 SHARDS = 16
-STEPS = 4
-WHOLE = 0.005
+STEPS = 6
+LEAST_MOVES = 0.001
+SLACK = 0.1
+WHOLE, WHOLE_LEAST = 0.05, 8
+
+
+def _splits(members: Column, capacity: float) -> Column:
+    """Whether a hub is so large that its members move one by one."""
+    return members > max(WHOLE_LEAST, WHOLE * capacity)
 
 
 def _quotas(asked: dict[tuple[int, int], int], size: list[int], capacity: int) -> list[float]:
@@ -58,7 +65,7 @@ def _ranked(df: DataFrame, shard: str, bucket: list[str], order: list[str], name
 
 def propagate(scratch: Scratch, rows: DataFrame, links: DataFrame, shards: int, n_rows: int, steps: int = STEPS) -> DataFrame:
     """(rid, label, hubs): the shard each linked row of ``links`` (rid, hub) has moved to; ``rows`` (rid, start) are all rows."""
-    capacity = -(-n_rows // shards)
+    capacity = -int(-n_rows * (1 + SLACK) // shards)
     degree = links.groupBy("hub").agg(F.count("*").alias("members")).filter("members > 1")
     linked = scratch.table(links.join(degree, "hub").select("rid", "hub", "members"), "links")
     own = scratch.table(linked.groupBy("rid").agg(F.max("members").alias("members"), F.max_by("hub", "members").alias("lead")).join(rows, "rid").select("rid", "members", "lead", F.col("start").alias("label")), "label-0")
@@ -70,12 +77,22 @@ def propagate(scratch: Scratch, rows: DataFrame, links: DataFrame, shards: int,
         pull = linked.join(seen, "hub").groupBy("rid", "label").agg(F.sum(F.col("n") / F.col("members")).alias("pull"), F.max(F.xxhash64("hub", "label")).alias("tie"))
         best = pull.groupBy("rid").agg(F.max_by("label", F.struct("pull", "tie")).alias("to"))
         asks = own.join(best, "rid")
-        draw = F.when(F.col("members") > WHOLE * capacity, F.xxhash64("rid", F.lit(step))).otherwise(F.xxhash64("lead", "label", F.lit(step)))
+        draw = F.when(_splits(F.col("members"), capacity), F.xxhash64("rid", F.lit(step))).otherwise(F.xxhash64("lead", "label", F.lit(step)))
         asks = scratch.table(asks.withColumn("draw", F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)), f"asks-{step}")
-        asked = _counts(asks.filter("label <> to"), "label", "to")
-        if not asked:
+        large = _splits(F.col("members"), capacity).cast("int")
+        asked = _counts(asks.filter("label <> to").withColumn("large", large), "large", "label", "to")
+        if sum(asked.values()) <= LEAST_MOVES * sum(size):
             break
-        go = F.col("draw") < _at(_quotas(asked, size, capacity), F.col("label") * shards + F.col("to"))
+        # small hubs choose first; large ones get what capacity is left
+        quotas, left = [], list(size)
+        for kind in (0, 1):
+            own_asks = {(i, j): m for (k, i, j), m in asked.items() if k == kind}
+            quotas += _quotas(own_asks, left, capacity)
+            for (i, j), m in own_asks.items():
+                moved = int(m * quotas[kind * shards * shards + i * shards + j])
+                left[i] -= moved
+                left[j] += moved
+        go = F.col("draw") < _at(quotas, large * shards * shards + F.col("label") * shards + F.col("to"))
         own = scratch.table(asks.select("rid", "members", "lead", F.when(go, F.col("to")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")), f"label-{step + 1}")
         for (i, j), m in _counts(own.filter("label <> was"), "was", "label").items():
             size[i] -= m
@@ -94,7 +111,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     own = propagate(scratch, base.select("rid", "start"), base.select("rid", "hub"), shards, n_rows)
     buckets = rank_buckets(n_rows)
     capacity = n_rows / shards
-    whole = F.col("members") <= WHOLE * capacity
+    whole = ~_splits(F.col("members"), capacity)
     label = F.coalesce("label", "start")
     # rows without links leave first, then small groups as wholes
     moved = base.join(own, "rid", "left").select(*base.columns, label.alias("label"), F.when(F.col("members").isNull(), 0).otherwise(1).alias("tied"), F.when(whole, F.col("hub")).otherwise(F.col("rid")).alias("unit"))
@@ -112,6 +129,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     target = F.size(F.filter(F.array(*[F.lit(f) for f in filled]), lambda f: f <= pool))
     placed = ranked.withColumn("shard", F.when(F.col("rank") < _at(excess, F.col("label")), target).otherwise(F.col("label")).cast("int"))
     placed = scratch.table(placed.select("rid", "doc_id", "size", "text_crc32", "shard").withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(buckets))), "placed")
+    scratch.clear("placed")
     out = _ranked(placed, "shard", ["bucket"], ["rid"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
