@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
+SLICE_ROWS = 2048
 WORD_BREAKS = (0x20, *range(0x09, 0x0E))
 U64 = np.uint64
 
@@ -35,11 +36,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="scratch-")
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base:  # unset, as in tests
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scratch-"))
+            base = spark.sparkContext.getCheckpointDir()
         self.base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         self._fs(self.base)[0].deleteOnExit(self._fs(self.base)[1])
 
     def _fs(self, path: str):
@@ -49,6 +51,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -57,13 +60,20 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def drop(self, name: str) -> None:
-        fs, path = self._fs(f"{self.base}/{name}")
-        fs.delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing left to run reads."""
+        for name in names:
+            fs, path = self._fs(f"{self.base}/{name}")
+            fs.delete(path, True)
+            self.names.discard(name)
+
+    def clear(self, *kept: str) -> None:
+        """Deletes all tables but those that the result reads."""
+        self.drop(*self.names - set(kept))
 
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Rows of one Arrow batch in slices of about ``SLICE_BYTES`` of text; a longer document is a slice of its own."""
+    """Rows of one Arrow batch in slices of about ``SLICE_BYTES`` of text and at most ``SLICE_ROWS``; a longer document is a slice of its own."""
     n = batch.num_rows
     if not n:
         return
@@ -71,7 +81,7 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
     at = 0
     while at < n:
         before = size[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, side="right")))
+        to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(size, before + SLICE_BYTES, side="right"))))
         yield batch.slice(at, to - at)
         at = to
 
@@ -110,15 +120,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-@functools.lru_cache(16)
-def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = (int(np.random.default_rng(seed).integers(1 << 62)) << 3 | 3) & (1 << 64) - 1
-    inverse = pow(base, -1, 1 << 64)
-    return tuple(np.multiply.accumulate(np.concatenate([[U64(1)], np.full(size, b, U64)])) for b in (base, inverse))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _grown(n: int) -> int:
-    return max(1 << 16, 1 << int(n).bit_length())
+def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a seed's odd base and of its inverse; one pair of tables a seed, grown when a longer buffer comes."""
+    if seed not in _POWERS or len(_POWERS[seed][0]) < size:
+        base = (int(np.random.default_rng(seed).integers(1 << 62)) << 3 | 3) & (1 << 64) - 1
+        size = 1 << max(16, int(size).bit_length())
+        _POWERS[seed] = tuple(np.multiply.accumulate(np.concatenate([[U64(1)], np.full(size, b, U64)])) for b in (base, pow(base, -1, 1 << 64)))
+    return _POWERS[seed]
 
 
 @functools.lru_cache(4)
@@ -128,7 +139,7 @@ def _byte_values(seed: int) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 11) -> np.ndarray:
     """64-bit hashes of byte spans, from one running polynomial sum."""
-    power, inverse = _powers(seed, _grown(len(data)))
+    power, inverse = _powers(seed, len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(_byte_values(seed)[data] * power[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
@@ -136,7 +147,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 
 def window_hashes(word: np.ndarray, at: np.ndarray, width: np.ndarray | int, seed: int) -> np.ndarray:
     """64-bit hashes of ``width`` consecutive word hashes from each index of ``at``."""
-    power, inverse = _powers(seed, _grown(len(word)))
+    power, inverse = _powers(seed, len(word) + 1)
     total = np.zeros(len(word) + 1, U64)
     np.cumsum(word * power[: len(word)], out=total[1:])
     return mix((total[at + width] - total[at]) * inverse[at])

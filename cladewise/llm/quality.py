@@ -140,7 +140,8 @@ def fit(rows: DataFrame, given: DataFrame, per_grade: int = PER_GRADE, epochs: i
 
 
 def _score(model, good: int, text: str, carried: list[str]):
-    """Adds the expected grade and the tail probability to the carried columns."""
+    """The carried columns, then the expected grade and the tail probability."""
+    names = [*carried, *_added(carried)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grades, w, thresholds, prior = model.value
@@ -149,31 +150,38 @@ def _score(model, good: int, text: str, carried: list[str]):
             for part in slices(batch, text):
                 feature, of, n = _features(part.column(text))
                 p = probabilities(np.bincount(of, w[feature], part.num_rows) / np.maximum(n, 1), thresholds, prior)
-                yield pa.record_batch([*(part.column(c) for c in carried), pa.array(p @ values), pa.array(p[:, values >= good].sum(axis=1))], names=[*carried, "expected_grade", "tail_prob"])
+                yield pa.record_batch([*(part.column(c) for c in carried), pa.array(p @ values), pa.array(p[:, values >= good].sum(axis=1))], names=names)
 
     return run
 
 
+def _added(carried: list[str]) -> list[str]:
+    """Names of the two scores that none of the carried columns has."""
+    out = ["expected_grade", "tail_prob"]
+    while {*out} & {c.lower() for c in carried}:
+        out = [f"_{c}" for c in out]
+    return out
+
+
 def _scored(rows: DataFrame, ratings: DataFrame, held_out: Column, good: int, id_col: str, text_col: str, grade_col: str, per_grade: int, carried: list[str]) -> DataFrame:
     given = ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).filter("id is not null and grade is not null")
     learned = rows.filter(~held_out).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     model = rows.sparkSession.sparkContext.broadcast(fit(learned, given, per_grade))
-    schema = StructType([*(f for f in rows.schema if f.name in carried), StructField("expected_grade", DoubleType()), StructField("tail_prob", DoubleType())])
-    return spread(rows).mapInArrow(_score(model, good, text_col, [f.name for f in schema[:-2]]), schema).withColumn("kept", F.col("tail_prob") >= KEEP)
+    schema = StructType([*(f for f in rows.schema if f.name in carried), *(StructField(c, DoubleType()) for c in _added(carried))])
+    return spread(rows).mapInArrow(_score(model, good, text_col, [f.name for f in schema[:-2]]), schema)
 
 
 def rate_quality(docs: DataFrame, ratings: DataFrame, held_out: Column, good: int = 1, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", per_grade: int = PER_GRADE) -> DataFrame:
     """One row per document: doc_id, held_out, expected_grade, tail_prob, kept. Learns from ratings of rows that are not held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     given = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).alias("grade"))
-    return _scored(rows, given, F.col("held_out"), good, "doc_id", "text", "grade", per_grade, ["doc_id", "held_out"])
+    return _scored(rows, given, F.col("held_out"), good, "doc_id", "text", "grade", per_grade, ["doc_id", "held_out"]).withColumn("kept", F.col("tail_prob") >= KEEP)
 
 
 def keep_quality(docs: DataFrame, ratings: DataFrame, good: int = 1, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", per_grade: int = PER_GRADE) -> DataFrame:
-    """The rows of docs that are kept, all columns; extra columns named expected_grade, tail_prob or kept are left out of the result."""
-    docs = docs.drop("expected_grade", "tail_prob", "kept")
+    """The rows of docs that are kept, all columns."""
     scored = _scored(docs, ratings, F.lit(False), good, id_col, text_col, grade_col, per_grade, docs.columns)
-    return scored.filter("kept").select(docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) >= KEEP).select(docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
