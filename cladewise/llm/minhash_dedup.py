@@ -177,7 +177,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     back = lambda c: F.when(c != LAST, c)
-    return out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = scratch.table(out, "out")
+    scratch.clear("out")
+    scratch.release()
+    return out
 
 
 def _matching(texts: DataFrame) -> DataFrame:
@@ -200,10 +204,13 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows that share an identifier stay or go together; of those with one text too, one stays.
     """
-    ids = near_duplicates(docs, id_col, text_col).filter("kept or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    joined = docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(*docs.columns))
-    return joined.withColumn("_nth", F.row_number().over(again)).filter(F.col("_nth") == 1).select(docs.columns)
+    ids = near_duplicates(docs, id_col, text_col).filter("kept").select("doc_id").distinct()
+    # the row travels as one column, so names of its own cannot clash with those used here
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
+    joined = rows.join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    again = Window.partitionBy("id", "h").orderBy(F.xxhash64("row"))
+    first = joined.withColumn("nth", F.row_number().over(again)).filter(F.col("nth") == 1)
+    return first.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
