@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import MURMUR_1, MURMUR_2, MURMUR_ADD, FMIX_1, FMIX_2, TOGGLE_MASK, murmur_hash3, unsigned_at_least
+from ..functions.parallel import dealt
 from ..functions.scalars import seed_mask
 
 SLICE_LETTERS = 1 << 20
@@ -137,10 +138,7 @@ def minimizers(reads: DataFrame, scheme: Scheme, keys: list[str], seq: str = "se
                 yield pa.record_batch([*(part.column(c).take(pa.array(row)) for c in names), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], names=[*names, "pos", "hash"])
 
     rows = reads.select(*names, F.regexp_replace(seq, "\n", "N").alias("_seq"), *([F.coalesce(offset, F.lit(0)).alias("_offset")] if offset else []))
-    parallel = reads.sparkSession.sparkContext.defaultParallelism
-    # a small table is one split; the scan is the heavy part, so it is dealt out first
-    rows = rows if rows.rdd.getNumPartitions() >= parallel else rows.repartition(parallel)
-    return rows.mapInArrow(run, schema)
+    return dealt(rows).mapInArrow(run, schema)
 
 
 def runs(found: DataFrame, keys: list[str]) -> DataFrame:
