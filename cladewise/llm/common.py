@@ -184,13 +184,6 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), pa.int32()), pa.array(values, kind))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one task a core for what was read as fewer splits (small tables); a table of many splits stays as it is."""
-    spark = df.sparkSession
-    n = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
 def rank_buckets(n_rows: int, per_bucket: int = 50_000) -> int:
     return max(16, -(-n_rows // per_bucket))
 

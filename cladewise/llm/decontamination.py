@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, list_array, shingles, slices, spread
+from ..functions.parallel import dealt
+from .common import Scratch, documents, list_array, shingles, slices
 
 WIDTH = 5
 SHARE = 0.75
@@ -117,7 +118,7 @@ def _models(items: DataFrame, item_col: str, item_text: str, share: float, block
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """One row per document and item that it holds to ``share`` or more: doc_id, item_id, n_shared, n_item, containment."""
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    rows = dealt(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     found = docs.sparkSession.createDataFrame([], FOUND)
     for model in _models(items, item_col, item_text, share, block):
         found = found.unionByName(rows.mapInArrow(_search(model, share), FOUND))
@@ -126,7 +127,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """The rows of docs, all columns, that hold no item to ``share`` or more."""
-    docs = spread(docs)
+    docs = dealt(docs)
     for model in _models(items, item_col, item_text, share, block):
         docs = docs.mapInArrow(_clean(model, share, text_col), docs.schema)
     return docs

@@ -24,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, slices, spread
+from ..functions.parallel import dealt
+from .common import documents, slices
 
 ORDER = 3
 PER_LANGUAGE = 400
@@ -162,7 +163,7 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Trees | None
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
     chosen = labelled.filter("lang is not null and text is not null").select("lang", "doc_id").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= per_language)
     sample = labelled.join(F.broadcast(chosen.select("lang", "doc_id").distinct()), ["lang", "doc_id"]).select("lang", "text")
-    counts = spread(sample).mapInArrow(_count, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(_count, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return None
     langs = sorted(counts["lang"].unique())
@@ -178,7 +179,7 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     scored = rows.select("doc_id", "text", "held_out")
     if trees is None:
         return scored.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return spread(scored).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(trees)), SCORED)
+    return dealt(scored).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(trees)), SCORED)
 
 
 def fold(id_col: str, folds: int) -> Column:

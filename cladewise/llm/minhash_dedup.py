@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, list_array, mix, shingles, slices, spread
+from ..functions.parallel import dealt
+from .common import Scratch, documents, list_array, mix, shingles, slices
 from .graph import components
 
 WIDTH = 5
@@ -110,7 +111,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.table(spread(rows).mapInArrow(_sign, SIGNED), "signed")
+    signed = scratch.table(dealt(rows).mapInArrow(_sign, SIGNED), "signed")
     odd = [f"o{i}" for i in range(ODD_BITS // 64)]
     classes = signed.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"))
     classes = scratch.table(classes, "classes")

@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, mix, slices, span_hashes, spread, text_buffer, words
+from ..functions.parallel import dealt
+from .common import documents, mix, slices, span_hashes, text_buffer, words
 from .hashed_text import labelled_sample
 from .language_id import fold
 
@@ -127,7 +128,7 @@ def fit(rows: DataFrame, given: DataFrame, per_grade: int = PER_GRADE, epochs: i
     grades = sorted(count)
     if len(grades) < 2:
         return grades, np.zeros(1 << BITS), np.zeros(0), np.ones(1)
-    rows = sorted(spread(sample).mapInArrow(_extract, FEATURES).toPandas().itertuples(index=False), key=lambda r: (r.id * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r.grade))
+    rows = sorted(sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(_extract, FEATURES).toPandas().itertuples(index=False), key=lambda r: (r.id * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r.grade))
     number = {g: i for i, g in enumerate(grades)}
     each = [(np.asarray(r.features), np.asarray(r.counts) / max(1, r.n), number[r.grade]) for r in rows]
     model = CumulativeLink(len(grades))
@@ -168,7 +169,7 @@ def _scored(rows: DataFrame, ratings: DataFrame, held_out: Column, good: int, id
     learned = rows.filter(~held_out).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     model = rows.sparkSession.sparkContext.broadcast(fit(learned, given, per_grade))
     schema = StructType([*(f for f in rows.schema if f.name in carried), *(StructField(c, DoubleType()) for c in _added(carried))])
-    return spread(rows).mapInArrow(_score(model, good, text_col, [f.name for f in schema[:-2]]), schema)
+    return dealt(rows).mapInArrow(_score(model, good, text_col, [f.name for f in schema[:-2]]), schema)
 
 
 def rate_quality(docs: DataFrame, ratings: DataFrame, held_out: Column, good: int = 1, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", per_grade: int = PER_GRADE) -> DataFrame:

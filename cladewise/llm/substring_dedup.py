@@ -26,7 +26,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, mix, ranges, slices, span_hashes, spread, text_buffer, window_hashes, words
+from ..functions.parallel import dealt
+from .common import Scratch, documents, mix, ranges, slices, span_hashes, text_buffer, window_hashes, words
 
 WIDTH = 20
 DEPTH = 2
@@ -206,7 +207,7 @@ def _repeated(rows: DataFrame, width: int, log_width: int) -> Broadcast:
 
 def _marks(rows: DataFrame, width: int, log_width: int, twice: Broadcast) -> DataFrame:
     """(doc, tag, marks): starts of the windows of each document that start earlier elsewhere."""
-    found = spread(rows).mapInArrow(_candidates(width, log_width, twice), "k1 long, k2 int, doc long, place long, known array<int>")
+    found = dealt(rows).mapInArrow(_candidates(width, log_width, twice), "k1 long, k2 int, doc long, place long, known array<int>")
     start = F.shiftright("place", TAG_BITS)
     rank = F.rank().over(Window.partitionBy("k1", "k2").orderBy("doc", start))
     later = found.withColumn("rank", rank).filter("known is not null or rank > 1")

@@ -28,7 +28,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, spread
+from ..functions.parallel import dealt
+from .common import documents, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern of the vocabulary.
@@ -178,7 +179,7 @@ def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.record_batch(columns, names=["doc_id", "n_pretokens", "n_tokens", "leaf_chars", "leaf_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return spread(rows).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>")
+    return dealt(rows).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>")
 
 
 def apply_edits(docs: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -238,7 +239,7 @@ def edited_counts(docs: DataFrame, edits_of: Callable[[str], list[Edit]] = redac
                 yield pa.record_batch([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names=[c.split()[0] for c in COUNTS.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return spread(rows).mapInArrow(run, COUNTS)
+    return dealt(rows).mapInArrow(run, COUNTS)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, slices, spread
+from ..functions.parallel import dealt
+from .common import documents, mix, slices
 from .hashed_text import distinct, grams, labelled_sample
 from .language_id import fold
 
@@ -73,7 +74,7 @@ def fit(rows: DataFrame, given: DataFrame, per_class: int = PER_CLASS, epochs: i
     empty = np.zeros(0, np.int64), np.zeros(0)
     if not (count.get(0) and count.get(1)):
         return *empty, 35.0 if count.get(1) else -35.0
-    found = spread(sample).mapInArrow(_extract, FEATURES).toArrow()
+    found = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(_extract, FEATURES).toArrow()
     ids, labels = found["id"].to_numpy(), found["label"].to_numpy()
     lists = found["features"].combine_chunks()
     size, feature = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
@@ -114,7 +115,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     given = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     model = docs.sparkSession.sparkContext.broadcast(fit(rows.filter("not held_out").select(F.col("doc_id").alias("id"), "text"), given, per_class))
-    return spread(rows).mapInArrow(_score(model), SCORED).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return dealt(rows).mapInArrow(_score(model), SCORED).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
