@@ -71,13 +71,24 @@ def concatenate(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def size_groups(records: DataFrame, limit: int, order: str, size: str = "size", start: Column | None = None) -> DataFrame:
-    """Adds suffix: the number of the output file of ``limit`` bytes that each record starts in.
+def size_groups(records: DataFrame, limit: int, order: str, size: str = "size", start: Column | None = None, parts: int = 200) -> DataFrame:
+    """Adds suffix: the number of the output file of ``limit`` bytes that each record starts in, in a numeric order.
 
-    ``start``: where a new file may begin; other records stay with the one before.
+    ``start``: where a new file may begin; other records stay with the one before. Running sums are taken in ``parts`` ranges of the
+    order and completed by prefix sums over the ranges, so that no task sees all records.
     """
-    running = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.floor(F.coalesce(F.sum(size).over(running), F.lit(0)) / limit)
-    if start is not None:
-        at = F.max(F.when(start, at)).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return records.withColumn("suffix", F.coalesce(at, F.lit(0)).cast("int"))
+    cuts = records.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    rows = records.withColumn("_part", part)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    offset = rows.groupBy("_part").agg(F.sum(size).alias("_total")).select("_part", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    own = Window.partitionBy("_part").orderBy(order)
+    at = F.floor((F.col("_offset") + F.coalesce(F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / limit)
+    rows = rows.join(offset, "_part").withColumn("_at", at)
+    if start is None:
+        return rows.withColumn("suffix", F.col("_at").cast("int")).drop("_part", "_offset", "_at")
+    rows = rows.withColumn("_start", F.when(start, F.col("_at")))
+    last = rows.groupBy("_part").agg(F.max("_start").alias("_last")).select("_part", F.max("_last").over(earlier).alias("_before"))
+    here = F.max("_start").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.join(last, "_part").withColumn("suffix", F.coalesce(here, F.col("_before"), F.lit(0)).cast("int"))
+    return out.drop("_part", "_offset", "_at", "_start", "_before")
