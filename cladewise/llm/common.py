@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 18
 SLICE_ROWS = 2048
+CHUNK = 1 << 20
 WORD_BREAKS = (0x20, *range(0x09, 0x0E))
 U64 = np.uint64
 
@@ -56,7 +58,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+        The event of a query's end refers to its plan until the listeners have seen it, hence the pause.
+        """
+        time.sleep(0.5)
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
@@ -138,19 +144,35 @@ def _byte_values(seed: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 11) -> np.ndarray:
-    """64-bit hashes of byte spans, from one running polynomial sum."""
-    power, inverse = _powers(seed, len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_byte_values(seed)[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    """64-bit hashes of byte spans, from one running polynomial sum for every ``CHUNK`` of bytes (spans ascend and do not overlap)."""
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
+        s, e = starts[i:j] - base, ends[i:j] - base
+        part = data[base : base + e[-1]]
+        power, inverse = _powers(seed, len(part) + 1)
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(_byte_values(seed)[part] * power[: len(part)], out=total[1:])
+        out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U64))
+        i = j
+    return out
 
 
 def window_hashes(word: np.ndarray, at: np.ndarray, width: np.ndarray | int, seed: int) -> np.ndarray:
-    """64-bit hashes of ``width`` consecutive word hashes from each index of ``at``."""
-    power, inverse = _powers(seed, len(word) + 1)
-    total = np.zeros(len(word) + 1, U64)
-    np.cumsum(word * power[: len(word)], out=total[1:])
-    return mix((total[at + width] - total[at]) * inverse[at])
+    """64-bit hashes of ``width`` consecutive word hashes from each index of ``at`` (ascending), chunk by chunk."""
+    out, i, ends = np.empty(len(at), U64), 0, at + width
+    while i < len(at):
+        base = at[i]
+        j = max(i + 1, int(np.searchsorted(at, base + CHUNK, side="right")))
+        s, e = at[i:j] - base, ends[i:j] - base
+        part = word[base : base + e.max()]
+        power, inverse = _powers(seed, len(part) + 1)
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(part * power[: len(part)], out=total[1:])
+        out[i:j] = mix((total[e] - total[s]) * inverse[s])
+        i = j
+    return out
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
