@@ -3,8 +3,9 @@
 A document's set is its distinct shingles of five words (ASCII letters lower-cased). ``BANDS`` bands of ``ROWS`` MinHash values give
 candidates: a pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^40 = 2.5e-7. ``SAMPLES`` one-permutation MinHash
 samples are folded into a parity bitmap of ``ODD_BITS`` bits; the population count of the XOR of two bitmaps estimates how many
-samples differ, and so the similarity, with a deviation of 0.015 to 0.025 near the threshold (by size). Candidates estimated more than
-``MARGIN`` deviations below it go; the others are confirmed on the full sets.
+samples differ, and so the similarity, with a measured deviation near the threshold of at most ``DEVIATION``, and ``CROWDED`` more where all samples are taken (a
+test holds it for sets of any size). Candidates estimated more than ``MARGIN`` deviations below it, and a little more for small sets, go; the others are
+confirmed on the full sets.
 
 Groups are never expanded into all their pairs. Documents with equal sets are one class. Within a band, classes are first
 linked to one class (the star), then to members of the band's largest component; only classes that still stand outside the largest
@@ -32,8 +33,8 @@ from .graph import components
 WIDTH = 5
 THRESHOLD = 75
 BANDS, ROWS = 40, 4
-SAMPLES, ODD_BITS = 512, 1024
-MARGIN, ODD_NOISE = 4.5, 2.2e-4
+SAMPLES, ODD_BITS = 4096, 2048
+MARGIN, DEVIATION, CROWDED, SMALL = 5, 0.016, 0.006, 1.5
 ROUNDS, DELEGATES = 2, 4
 LAST = (1 << 63) - 1
 
@@ -100,11 +101,10 @@ def _likely(a: str, b: str) -> tuple[Column, Column]:
     common = (F.col(f"{a}.samples") + F.col(f"{b}.samples") - apart) / 2
     both = F.col(f"{a}.n") + F.col(f"{b}.n")
     like = F.lit(THRESHOLD / 100)
-    for _ in range(3):  # samples that the union has depend on its size, which depends on the similarity
+    for _ in range(2):  # samples that the union has depend on its size, which depends on the similarity
         like = F.greatest(F.lit(0.0), common / (SAMPLES * (1 - F.exp(-both / (1 + like) / SAMPLES))))
-    taken, size = F.greatest(F.col(f"{a}.samples"), F.col(f"{b}.samples")), F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    spread_ = F.sqrt(0.1875 / taken * (1 - taken / size) + ODD_NOISE * taken / SAMPLES + 2 / (taken * taken))
-    return like, like >= THRESHOLD / 100 - MARGIN * spread_
+    taken = F.greatest(F.col(f"{a}.samples"), F.col(f"{b}.samples"))
+    return like, like >= THRESHOLD / 100 - MARGIN * (DEVIATION + CROWDED * taken / SAMPLES) - SMALL / taken
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

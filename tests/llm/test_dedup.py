@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from conftest_llm import make, prose
 
@@ -153,6 +154,25 @@ def test_near_large_group_of_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("n", [8, 40, 150, 300, 1500, 6000, 20000])
+def test_sketches_estimate_within_their_margin(n):
+    """Pairs at the threshold: the deviation is the one that the margin is a multiple of, and none falls below the margin."""
+    m, rng, errors = minhash_dedup, np.random.default_rng(n), []
+    for _ in range(150 if n < 2000 else 40):
+        shared = -(-2 * n * 75 // 175)
+        u = rng.integers(1 << 63, size=2 * n - shared, dtype=np.int64).astype(np.uint64)
+        odd, samples = m._odd(np.concatenate([u[:n], u[:shared], u[n:]]), np.repeat([0, 1], [n, n]), 2)
+        differ = np.unpackbits((odd[0] ^ odd[1]).view(np.uint8)).sum()
+        apart = np.log(max(1 - 2 * differ / m.ODD_BITS, 1e-9)) / np.log(1 - 2 / m.ODD_BITS)
+        like = 0.75
+        for _ in range(2):
+            like = max(0, (samples.sum() - apart) / 2 / (m.SAMPLES * (1 - np.exp(-2 * n / (1 + like) / m.SAMPLES))))
+        errors.append(like - shared / len(u))
+    deviation = m.DEVIATION + m.CROWDED * samples.max() / m.SAMPLES
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 1.25 * deviation
+    assert min(errors) > -m.MARGIN * deviation - m.SMALL / samples.max()
+
+
 def test_near_keeps_one_row_of_each_group(spark):
     texts = ["one two three four five six"] * 3 + [None, "", "other words that are not like the first at all"]
     docs = make(spark, texts, [5, 2, 2, 9, 8, None])
