@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranges, span_hashes, text_buffer, window_hashes
@@ -45,13 +45,15 @@ def distinct(feature: np.ndarray, of: np.ndarray, bits: int) -> tuple[np.ndarray
 
 
 def labelled_sample(rows: DataFrame, given: DataFrame, label: str, limit: int) -> tuple[dict[int, int], DataFrame]:
-    """How many labelled rows each label has, and (id, label, text) of at most ``limit`` of each: those of the least hashes.
+    """How many labelled rows each label has, and (id, label, text) of about ``limit`` of each: those whose hash is below limit / count.
 
     rows (id, text) meet the labels by identifier alone; texts are then read for the sample's identifiers, which are broadcast
-    (``limit`` for each label), so no text is shuffled.
+    (about ``limit`` for each label), so no text is shuffled and no label is gathered in one task.
     """
     known = rows.select("id").join(given, "id")
     count = {r[label]: r["count"] for r in known.groupBy(label).count().collect()}
-    w = Window.partitionBy(label).orderBy(F.xxhash64("id", F.lit(9)), "id")
-    chosen = known.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= limit).select("id", label).distinct()
+    share = F.lit(0.0)
+    for value, n in count.items():
+        share = F.when(F.col(label) == value, min(1.0, limit / n)).otherwise(share)
+    chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 30)) < share * (1 << 30)).distinct()
     return count, rows.join(F.broadcast(chosen), "id").select("id", label, "text")

@@ -3,7 +3,7 @@
 A document of n words has the features of its words: the word (lower-cased), its shape (letters by case, digits and signs, runs as
 one) and the pair of its shape and the next one's (told apart if the next word is the same), hashed; each counts with its share of n. P(grade <= k) = sigmoid(t_k - w.x): all grades
 share the weights w, the thresholds t_0 < t_1 < ... are kept in order by learning the logarithms of their distances. The model is
-fitted on at most ``PER_GRADE`` rated rows of each grade, those of the least hashes, by per-coordinate steps in an order of hashes;
+fitted on about ``PER_GRADE`` rated rows of each grade, chosen by hash, by per-coordinate steps in an order of hashes;
 probabilities are then put back to the shares that the grades have among all rated rows. A document gets its expected grade and
 its tail probability, that of the grade ``good`` or better, by which it is kept or rejected.
 

@@ -2,7 +2,7 @@
 
 A document has each feature at most once. The model keeps for every coordinate the sums z and n of the proximal update, so each has
 a learning rate of its own, and the L1 term leaves most weights at zero: what is broadcast are the weights that are not. It is
-fitted on at most ``PER_CLASS`` labelled rows of each label, those of the least hashes, in an order of hashes; the intercept is then set
+fitted on about ``PER_CLASS`` labelled rows of each label, chosen by hash, in an order of hashes; the intercept is then set
 back to the share of the label among all labelled rows of the training fold. Features in fewer than ``MIN_DOCS`` of its rows are left out. Scoring reads every text whole, looks the features
 up and adds the weights of the distinct ones; no text is shuffled.
 
