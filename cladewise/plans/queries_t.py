@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
@@ -101,11 +101,25 @@ def rank_offsets(spark, sf_dir):
 
 @query(f"{TREE_SQL} select a.taxid as a, b.taxid as b, exists (select 1 from closure c where c.taxid = b.taxid and c.anc = a.taxid) as is_ancestor, coalesce((select arg_max(x.anc, x.anc_depth) from closure x join closure y on x.anc = y.anc where x.taxid = a.taxid and y.taxid = b.taxid), 0) as lca from tree a, tree b where a.depth < 3 and b.depth < 3")
 def lca_pairs(spark, sf_dir):
+    """All pairs of the three upper levels only; ``lca_line_pairs`` has the whole tree."""
     t = tree_t(spark, sf_dir).filter("depth < 3").select("taxid", "path")  # the upper levels, as in the SQL
     a, b = t.select(F.col("taxid").alias("a"), F.col("path").alias("pa")), t.select(F.col("taxid").alias("b"), F.col("path").alias("pb"))
     return a.crossJoin(b).select("a", "b", tax.is_ancestor(F.col("a"), F.col("pb")).alias("is_ancestor"), tax.lca(F.col("pa"), F.col("pb")).alias("lca"))
 
 
+@query(f"""{HITS_SQL}, pairs as (select a, b from (select taxid as a, lead(taxid) over (partition by read_index order by pos) as b from positions) where b is not null union select parent, taxid from tree),
+met as (select a, b, arg_max(x.anc, x.anc_depth) as lca from pairs join closure x on x.taxid = a join closure y on y.taxid = b and y.anc = x.anc group by a, b)
+select a, b, c.anc is not null as is_ancestor, coalesce(lca, greatest(a, b)) as lca from pairs left join met using (a, b) left join closure c on c.taxid = b and c.anc = a""")
+def lca_line_pairs(spark, sf_dir):
+    """Ancestor test and LCA over the whole tree: the taxa of each position and the next one of its read (0 where nothing hit), and each node with its parent."""
+    after = F.lead("taxid").over(Window.partitionBy("read_index").orderBy("pos"))
+    lines = hits_t(spark, sf_dir, misses=True).select(F.col("taxid").alias("a"), after.alias("b")).filter("b is not null")
+    t = tree_t(spark, sf_dir)
+    pairs = lines.unionByName(t.select(F.col("parent").alias("a"), F.col("taxid").alias("b"))).distinct()
+    a, b = t.select(F.col("taxid").alias("a"), F.col("path").alias("pa")), t.select(F.col("taxid").alias("b"), F.col("path").alias("pb"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", tax.is_ancestor(F.col("a"), F.col("pb")).alias("is_ancestor"), tax.lca(F.col("pa"), F.col("pb")).alias("lca"))
+
+
 @query(f"{TREE_SQL}, members as (select distinct l_partkey as hash, 1000 + l_suppkey as taxid from lineitem), k as (select hash, count(*) as k from members group by 1), c as (select hash, anc, anc_depth, count(*) as n from members join closure using (taxid) group by all) select hash, arg_max(anc, anc_depth) as taxid from c join k using (hash) where n = k group by hash")
 def lca_by_part(spark, sf_dir):
     """The index's aggregate on domain T: for each part the lowest common ancestor of its suppliers."""

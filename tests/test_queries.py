@@ -46,3 +46,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_lca_pairs_reach_the_whole_tree(spark):
+    got = registry.queries()["lca_line_pairs"](spark, SF).collect()
+    tree = {r.taxid for r in registry.queries()["taxonomy_nodes"](spark, SF).collect()}
+    assert tree <= {r.b for r in got}
+    species = [r for r in got if r.a > 1000 or r.b > 1000]
+    assert any(r.a > 1000 and r.b > 1000 and r.a != r.b for r in species) and any(r.a == 0 for r in species)
+    assert any(r.is_ancestor and 0 < r.a < 100 for r in species) and {1, *range(10, 15)} <= {r.lca for r in species}
