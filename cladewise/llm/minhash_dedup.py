@@ -4,8 +4,9 @@ A document's set is its distinct shingles of five words (ASCII letters lower-cas
 candidates: a pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^40 = 2.5e-7. ``SAMPLES`` one-permutation MinHash
 samples are folded into a parity bitmap of ``ODD_BITS`` bits; the population count of the XOR of two bitmaps estimates how many
 samples differ, and so the similarity, with a measured deviation near the threshold of at most ``DEVIATION``, and ``CROWDED`` more where all samples are taken (a
-test holds it for sets of any size). Candidates estimated more than ``MARGIN`` deviations below it, and a little more for small sets, go; the others are
-confirmed on the full sets.
+test holds it for sets of any size). The similarity's error has a long tail where all samples are taken; the number of differing bits has none. Candidates
+go that are estimated more than ``MARGIN`` deviations below the threshold, and a little more for small sets, and also differ in more than ``MARGIN``
+deviations of bits above what the threshold makes differ; the others are confirmed on the full sets.
 
 Groups are never expanded into all their pairs. Documents with equal sets are one class. Within a band, classes are first
 linked to one class (the star), then to members of the band's largest component; only classes that still stand outside the largest
@@ -95,7 +96,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(a: str, b: str) -> tuple[Column, Column]:
-    """The similarity that two odd sketches suggest, and whether it is within ``MARGIN`` deviations of the threshold."""
+    """The similarity that two odd sketches suggest, and whether it or the number of differing bits is within ``MARGIN`` deviations of the threshold."""
     differ = sum((F.bit_count(F.col(f"{a}.o{i}").bitwiseXOR(F.col(f"{b}.o{i}"))) for i in range(ODD_BITS // 64)), F.lit(0))
     apart = F.log(F.greatest(1 - 2 * differ / float(ODD_BITS), F.lit(1e-9))) / float(np.log(1 - 2 / ODD_BITS))
     common = (F.col(f"{a}.samples") + F.col(f"{b}.samples") - apart) / 2
@@ -104,7 +105,15 @@ def _likely(a: str, b: str) -> tuple[Column, Column]:
     for _ in range(2):  # samples that the union has depend on its size, which depends on the similarity
         like = F.greatest(F.lit(0.0), common / (SAMPLES * (1 - F.exp(-both / (1 + like) / SAMPLES))))
     taken = F.greatest(F.col(f"{a}.samples"), F.col(f"{b}.samples"))
-    return like, like >= THRESHOLD / 100 - MARGIN * (DEVIATION + CROWDED * taken / SAMPLES) - SMALL / taken
+    near = like >= THRESHOLD / 100 - MARGIN * (DEVIATION + CROWDED * taken / SAMPLES) - SMALL / taken
+    # the logarithm stretches one side of a full bitmap's error, so what it drops is judged by the differing bits too
+    at, union = THRESHOLD / 100, both / (1 + THRESHOLD / 100)
+    cells = SAMPLES * (1 - F.exp(-union / SAMPLES))
+    apart = F.greatest(F.lit(0.0), F.col(f"{a}.samples") + F.col(f"{b}.samples") - 2 * at * cells)
+    even = F.exp(-2 * apart / ODD_BITS)
+    drawn = 4 * at * (1 - at) * cells * (1 - cells / union)  # variance of the number of samples that differ
+    spread = F.sqrt(F.greatest(F.lit(0.0), ODD_BITS / 4 * (1 - even * even) + (drawn - apart) * even * even))
+    return like, near | (differ <= ODD_BITS / 2 * (1 - even) + MARGIN * spread)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

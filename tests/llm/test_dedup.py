@@ -173,6 +173,26 @@ def test_sketches_estimate_within_their_margin(n):
     assert min(errors) > -m.MARGIN * deviation - m.SMALL / samples.max()
 
 
+@pytest.mark.parametrize("n", [10000, 20000, 60000])
+def test_pairs_at_the_threshold_are_not_dropped(spark, n):
+    """Many pairs of large sets at similarity 0.75: bits that differ as the samples of such sets make them."""
+    m, rng, count = minhash_dedup, np.random.default_rng(n), np.zeros(minhash_dedup.ODD_BITS + 1, int)
+    union = round(2 * n / 1.75)
+    cells, own = (round(m.SAMPLES * (1 - np.exp(-size / m.SAMPLES))) for size in (union, n))
+    for _ in range(120):
+        common = rng.hypergeometric(union * 3 // 4, union - union * 3 // 4, cells, size=500)
+        apart = 2 * (own - common)
+        bit = np.repeat(np.arange(500), apart) * m.ODD_BITS + rng.integers(m.ODD_BITS, size=apart.sum())
+        odd = np.bincount(bit, minlength=500 * m.ODD_BITS).reshape(500, -1) & 1
+        count += np.bincount(odd.sum(axis=1), minlength=len(count))
+    words, seen = m.ODD_BITS // 64, np.flatnonzero(count)
+    rows = [(int(d), n, own, *np.packbits(np.arange(m.ODD_BITS) < d).view(np.int64).tolist()) for d in seen]
+    pairs = spark.createDataFrame(rows, f"d int, n long, samples int, {', '.join(f'o{i} long' for i in range(words))}").alias("x")
+    none = spark.createDataFrame([(n, own, *[0] * words)], f"n long, samples int, {', '.join(f'o{i} long' for i in range(words))}").alias("y")
+    lost = pairs.crossJoin(none).filter(~m._likely("x", "y")[1]).select("d").collect()
+    assert sum(count[r.d] for r in lost) == 0, "of 60,000"
+
+
 def test_near_keeps_one_row_of_each_group(spark):
     texts = ["one two three four five six"] * 3 + [None, "", "other words that are not like the first at all"]
     docs = make(spark, texts, [5, 2, 2, 9, 8, None])
