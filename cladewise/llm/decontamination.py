@@ -3,12 +3,14 @@
 Test items are partitioned by the size of their shingle sets (five words, ASCII letters lower-cased; upper bounds are powers of two).
 An item of a partition with upper bound u is signed by its floor((1 - t) u) + 1 least hash values (all, if it has fewer). A document that
 holds the share t of an item's q shingles lacks at most floor((1 - t) q) of them, so it holds one of the signature: the search loses
-nothing. What it finds is confirmed by counting the item's distinct shingles in the whole document.
+nothing. What it finds is confirmed by counting the item's distinct shingles in the whole document. An item of one to four words is one
+shingle of its own width; it is looked up among the documents' windows of that width, so it is found wherever its words stand in a row. The
+SQL has windows of five words only and finds such an item only as a whole text.
 
 Signatures are broadcast in blocks of about ``BLOCK`` shingles (32 MB of hashes); a larger benchmark takes more passes. Documents are read
 once a block and never shuffled.
 
-Defined cases: null or empty texts hold nothing and are found nowhere; a text of fewer than five words is one shingle; repeated rows
+Defined cases: null or empty texts hold nothing and are found nowhere; a text of fewer than five words is one shingle, and holds items no longer than itself; repeated rows
 and items are each reported; null identifiers are reported as null; no items or no documents give an empty result; other columns are
 not read.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parallel import dealt
-from .common import Scratch, documents, list_array, shingles, slices
+from .common import Scratch, documents, list_array, shingles, slices, text_buffer, words
 
 WIDTH = 5
 SHARE = 0.75
@@ -41,7 +43,8 @@ def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             h, _, offsets = shingles(part.column("text"), WIDTH)
-            yield pa.record_batch([part.column("item_id"), list_array(h.view(np.int64), offsets, pa.int64())], names=["item_id", "set"])
+            width = np.minimum(np.diff(words(*text_buffer(part.column("text")))[2]), WIDTH).astype(np.int32)
+            yield pa.record_batch([part.column("item_id"), pa.array(width), list_array(h.view(np.int64), offsets, pa.int64())], names=["item_id", "width", "set"])
 
 
 class _Table:
@@ -66,13 +69,18 @@ class _Table:
 
 def _matches(text: pa.Array, model, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, item and number of shared shingles of each confirmed match."""
-    _, sizes, sign, whole = model
+    _, sizes, sign, whole, short = model
     h, of, _ = shingles(text, WIDTH)
     hit, _ = sign.find(h)
     near = np.isin(of, np.unique(of[hit]))  # whole sets of the documents found
     h, of = h[near], of[near]
     at, item = whole.find(h)
-    pair, shared = np.unique(of[at] * np.int64(len(sizes)) + item, return_counts=True)
+    pairs = [of[at] * np.int64(len(sizes)) + item]
+    for width, table in short.items():  # one shingle an item
+        h, of, _ = shingles(text, width)
+        at, item = table.find(h)
+        pairs.append(of[at] * np.int64(len(sizes)) + item)
+    pair, shared = np.unique(np.concatenate(pairs), return_counts=True)
     row, item = pair // len(sizes), pair % len(sizes)
     keep = shared >= share * sizes[item] - 1e-9
     return row[keep], item[keep], shared[keep]
@@ -104,7 +112,7 @@ def _clean(model, share: float, text: str):
 def _models(items: DataFrame, item_col: str, item_text: str, share: float, block: int) -> Iterator:
     """Broadcast signatures and sets, block by block of the items."""
     spark = items.sparkSession
-    sets = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_sets, "item_id long, set array<long>")
+    sets = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_sets, "item_id long, width int, set array<long>")
     sets = Scratch(spark).table(sets.filter(F.size("set") > 0), "items")
     blocks = -(-(sets.agg(F.sum(F.size("set"))).first()[0] or 0) // block)
     for b in range(blocks):
@@ -112,8 +120,14 @@ def _models(items: DataFrame, item_col: str, item_text: str, share: float, block
         each = [np.array(r["set"], np.int64).view(np.uint64) for r in own]  # ascending: the least values come first
         if own:
             least = [h[: signature_size(len(h), share)] for h in each]
-            number = lambda parts: (np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
-            yield spark.sparkContext.broadcast(([r["item_id"] for r in own], np.array([len(h) for h in each]), _Table(*number(least)), _Table(*number(each))))
+            width = np.array([r["width"] for r in own])
+
+            def hashes(parts: list[np.ndarray], of_width: int) -> _Table:
+                which = np.flatnonzero(width == of_width)
+                return _Table(np.concatenate([np.zeros(0, np.uint64), *(parts[i] for i in which)]), np.repeat(which, [len(parts[i]) for i in which]))
+
+            short = {int(w): hashes(each, w) for w in np.unique(width) if w < WIDTH}
+            yield spark.sparkContext.broadcast(([r["item_id"] for r in own], np.array([len(h) for h in each]), hashes(least, WIDTH), hashes(each, WIDTH), short))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:

@@ -41,6 +41,19 @@ def test_contained_items_against_brute_force(spark, odd_texts):
         assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == sorted({*range(len(texts))} - {w[0] for w in want})
 
 
+def test_items_of_fewer_than_five_words_inside_long_documents(spark):
+    long = prose(random.Random(9), 300)
+    tests = ["Yes", "two words", "just three words", "now there are four", "there are two words now", None]
+    texts = [f"{long} two WORDS {long}", f"{long} now there  are four", f"yes {long}", "just three words", "two words", f"{long} two x words", f"yesterday {long}", None, "", f"{long} there are two words now {long}"]
+    want = [(0, 1), (1, 3), (2, 0), (3, 2), (4, 1), (9, 1), (9, 4)]
+    docs = make(spark, texts)
+    for block in (decontamination.BLOCK, 2):
+        got = decontamination.contained_items(docs, items(spark, tests), block=block).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == want and {(r.n_shared, r.n_item, r.containment) for r in got} == {(1, 1, 1.0)}
+        clean = decontamination.drop_contaminated(docs, items(spark, tests), block=block)
+        assert sorted(r.doc_id for r in clean.collect()) == [5, 6, 7, 8]
+
+
 def test_no_items_or_documents(spark):
     assert decontamination.contained_items(make(spark, ["a b c d e"]), items(spark, [])).count() == 0
     assert decontamination.contained_items(make(spark, []), items(spark, ["a b c d e"])).count() == 0
