@@ -4,7 +4,7 @@ Linked rows are the members of a hub; the operator takes any (row, hub) table, a
 with that text. Rows start in shards dealt by hash. In each step the members of every hub learn in which shard most of them are
 and ask to move there. How many may go from a shard to another is a quota: as many as come the other way, and a share of what the
 target's capacity still allows (``SLACK`` above an even share; rows without links give way at the end, so they take none of it). Small hubs are admitted whole, large ones member by member, so one that exceeds a shard is cut only where the
-capacity demands it. At the end rows in excess of a shard's exact size go to the shards that lack some, rows without links first.
+capacity demands it. Steps end when no row asks to move, and after ``STEPS`` in any case: what still asks then stays where it is. At the end rows in excess of a shard's exact size go to the shards that lack some, rows without links first.
 
 The law is ``rows``: counts differ by one at most. Ranks come from prefix sums over counts of small buckets and a row number
 inside a bucket, so no shard is ever sorted in one task. The driver sees only shard-by-shard counts.
@@ -23,7 +23,6 @@ from .common import Scratch, documents, rank_buckets
 
 SHARDS = 16
 STEPS = 6
-LEAST_MOVES = 0.001
 SLACK = 0.1
 WHOLE, WHOLE_LEAST = 0.05, 8
 
@@ -81,7 +80,7 @@ def propagate(scratch: Scratch, rows: DataFrame, links: DataFrame, shards: int,
         asks = scratch.table(asks.withColumn("draw", F.pmod(draw, F.lit(1 << 30)) / float(1 << 30)), f"asks-{step}")
         large = _splits(F.col("members"), capacity).cast("int")
         asked = _counts(asks.filter("label <> to").withColumn("large", large), "large", "label", "to")
-        if sum(asked.values()) <= LEAST_MOVES * sum(size):
+        if not asked:
             break
         # small hubs choose first; large ones get what capacity is left
         quotas, left = [], list(size)

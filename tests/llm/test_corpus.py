@@ -158,6 +158,15 @@ def test_links_that_are_not_groups(spark):
     assert cut <= 20 and max(size.values()) <= 1.5 * n / 8  # at the start every block is cut
 
 
+def test_the_last_few_that_ask_move_too(spark):
+    """One member of one group stands elsewhere, among so many rows that it is less than a thousandth of them."""
+    n = 2400
+    rows = spark.createDataFrame([(i, (i // 3 + (i == 0)) % 8) for i in range(n)], "rid long, start int")
+    links = spark.createDataFrame([(i, i // 3) for i in range(n)], "rid long, hub long")
+    got = {r.rid: r.label for r in sharding.propagate(Scratch(spark), rows, links, 8, n).collect()}
+    assert got == {i: i // 3 % 8 for i in range(n)}
+
+
 # --- components -----------------------------------------------------------------------------------------------------------
 
 
