@@ -12,6 +12,10 @@ Defined cases: null sources are one source; null text counts as no bytes, each d
 does not name has weight 0 and no copies; documents that share an identifier draw the same number (null identifiers draw by their
 text); means over 256 are drawn in parts; an empty table gives an empty result; extra columns are carried, but for the names ``copy``,
 ``n_copies`` and ``place``, which are written anew.
+
+The SQL checks less than the operator does: it has at most 200 copies of a document, draws in one part whatever the rate (the operator: in parts of at
+most ``PART``), and leaves out documents of a null source and those without an identifier. It holds for rates well below 200 and tables without
+such nulls; what is beyond is held by a test against draws written out in Python.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import random
 import re
@@ -107,6 +108,25 @@ def test_large_means_and_left_out_sources(spark):
     assert mixing.mix_sources(make(spark, [])).count() == 0
 
 
+def test_mixing_beyond_what_its_sql_holds(spark):
+    """Null sources and documents of more than 200 and 256 mean copies, against draws written out."""
+    texts, sources = ["x" * 99] * 40 + ["y" * 3, "z" * 4, "z" * 5], ["big"] * 40 + [None, "tiny", "tiny"]
+    weights = {"big": 0.1, None: 0.3, "tiny": 0.6}
+    got = collections.Counter(r.doc_id for r in mixing.mix_sources(make(spark, texts, sources=sources), weights).collect())
+    total = sum(len(t) + 1 for t in texts)
+    for doc, source in enumerate(sources):
+        rate = weights[source] * total / sum(len(t) + 1 for t, s in zip(texts, sources, strict=True) if s == source)
+        parts, n = max(1, math.ceil(rate / mixing.PART)), 0
+        for part in range(1, parts + 1):
+            u = int(hashlib.md5(f"{mixing.SEED}:{doc}:{part}".encode()).hexdigest()[:13], 16) / 2**52
+            mean, cdf, k = rate / parts, 0.0, 0
+            while (cdf := cdf + math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1))) <= u:
+                k += 1
+            n += k
+        assert got[doc] == n
+    assert min(got[40], got[41], got[42]) > 200
+
+
 def test_mixing_odd_rows(spark, odd_texts):
     rows = mixing.mix_sources(make(spark, odd_texts * 3, ids=[None, 1, 1] * (len(odd_texts)), sources=[None, "a", "b"] * len(odd_texts))).collect()
     assert all(1 <= r.copy <= r.n_copies for r in rows)
