@@ -1,12 +1,12 @@
 """MinHash near-dedup with odd sketches.
 
 A document's set is its distinct shingles of five words (ASCII letters lower-cased). ``BANDS`` bands of ``ROWS`` MinHash values give
-candidates: a pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^40 = 2.5e-7. ``SAMPLES`` one-permutation MinHash
-samples are folded into a parity bitmap of ``ODD_BITS`` bits; the population count of the XOR of two bitmaps estimates how many
-samples differ, and so the similarity, with a measured deviation near the threshold of at most ``DEVIATION``, and ``CROWDED`` more where all samples are taken (a
-test holds it for sets of any size). The similarity's error has a long tail where all samples are taken; the number of differing bits has none. Candidates
-go that are estimated more than ``MARGIN`` deviations below the threshold, and a little more for small sets, and also differ in more than ``MARGIN``
-deviations of bits above what the threshold makes differ; the others are confirmed on the full sets.
+candidates: a pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^40 = 2.5e-7. A set's MinHash sample is folded into a
+parity bitmap of ``ODD_BITS`` bits; the population count of the XOR of two bitmaps tells how many samples differ. A set of up to
+``SAMPLES`` shingles is its own sample, so the count never exceeds the number of shingles that differ, and a pair whose count does exceed
+what similarity 0.75 allows, (n + m) / 7, is refuted for sure. Larger sets have one-permutation samples. Where bits collide often
+(and for all samples), candidates go that differ in more than ``MARGIN`` deviations of bits above what the threshold makes differ (a test
+draws pairs at the threshold for sets of any size). The others, and pairs of one set of either kind, are confirmed on the full sets.
 
 Groups are never expanded into all their pairs. Documents with equal sets are one class. Within a band, classes are first
 linked to one class (the star), then to members of the band's largest component; only classes that still stand outside the largest
@@ -35,7 +35,7 @@ WIDTH = 5
 THRESHOLD = 75
 BANDS, ROWS = 40, 4
 SAMPLES, ODD_BITS = 4096, 2048
-MARGIN, DEVIATION, CROWDED, SMALL = 5, 0.016, 0.006, 1.5
+MARGIN = 6
 ROUNDS, DELEGATES = 2, 4
 LAST = (1 << 63) - 1
 
@@ -66,18 +66,19 @@ def _bands(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _odd(h: np.ndarray, of: np.ndarray, sets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parity bitmaps of the one-permutation MinHash samples, and the number of samples of each set."""
+    """Parity bitmaps of the samples, and the number of samples of each set: all of a set up to ``SAMPLES``, else one-permutation MinHash."""
+    size = np.bincount(of, minlength=sets)
     g = mix(h ^ np.uint64(0x51ED270B7F2A9D43))
-    cell = of.astype(np.int64) * SAMPLES + (g >> np.uint64(64 - SAMPLES.bit_length() + 1)).astype(np.int64)
-    order = np.lexsort((g, cell))
-    cell, g = cell[order], g[order]
+    large = np.flatnonzero(size[of] > SAMPLES)
+    cell = of[large].astype(np.int64) * SAMPLES + (g[large] >> np.uint64(64 - SAMPLES.bit_length() + 1)).astype(np.int64)
+    order = np.lexsort((g[large], cell))
+    cell = cell[order]
     first = np.ones(len(cell), bool)
     first[1:] = cell[1:] != cell[:-1]
-    cell, g = cell[first], g[first]
-    row = cell // SAMPLES
-    bit = (mix(g + (cell % SAMPLES).astype(np.uint64)) & np.uint64(ODD_BITS - 1)).astype(np.int64)
-    parity = np.bincount(row * ODD_BITS + bit, minlength=sets * ODD_BITS) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(sets, ODD_BITS), axis=1).view(np.int64), np.bincount(row, minlength=sets)
+    taken = np.concatenate([np.flatnonzero(size[of] <= SAMPLES), large[order][first]])
+    bit = (mix(g[taken]) & np.uint64(ODD_BITS - 1)).astype(np.int64)
+    parity = np.bincount(of[taken] * np.int64(ODD_BITS) + bit, minlength=sets * ODD_BITS) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(sets, ODD_BITS), axis=1).view(np.int64), np.bincount(of[taken], minlength=sets)
 
 
 SIGNED = f"doc_id long, n long, s1 long, s2 long, samples int, bands array<long>, {', '.join(f'o{i} long' for i in range(ODD_BITS // 64))}"
@@ -96,24 +97,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(a: str, b: str) -> tuple[Column, Column]:
-    """The similarity that two odd sketches suggest, and whether it or the number of differing bits is within ``MARGIN`` deviations of the threshold."""
+    """The number of samples that differ, as two odd sketches suggest it, in shares of both sizes; and whether the threshold allows the differing bits."""
     differ = sum((F.bit_count(F.col(f"{a}.o{i}").bitwiseXOR(F.col(f"{b}.o{i}"))) for i in range(ODD_BITS // 64)), F.lit(0))
-    apart = F.log(F.greatest(1 - 2 * differ / float(ODD_BITS), F.lit(1e-9))) / float(np.log(1 - 2 / ODD_BITS))
-    common = (F.col(f"{a}.samples") + F.col(f"{b}.samples") - apart) / 2
-    both = F.col(f"{a}.n") + F.col(f"{b}.n")
-    like = F.lit(THRESHOLD / 100)
-    for _ in range(2):  # samples that the union has depend on its size, which depends on the similarity
-        like = F.greatest(F.lit(0.0), common / (SAMPLES * (1 - F.exp(-both / (1 + like) / SAMPLES))))
-    taken = F.greatest(F.col(f"{a}.samples"), F.col(f"{b}.samples"))
-    near = like >= THRESHOLD / 100 - MARGIN * (DEVIATION + CROWDED * taken / SAMPLES) - SMALL / taken
-    # the logarithm stretches one side of a full bitmap's error, so what it drops is judged by the differing bits too
-    at, union = THRESHOLD / 100, both / (1 + THRESHOLD / 100)
+    at, both, taken = THRESHOLD / 100, F.col(f"{a}.n") + F.col(f"{b}.n"), F.col(f"{a}.samples") + F.col(f"{b}.samples")
+    union = both / (1 + at)
+    whole, large = (F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")) <= SAMPLES), (F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) > SAMPLES)
     cells = SAMPLES * (1 - F.exp(-union / SAMPLES))
-    apart = F.greatest(F.lit(0.0), F.col(f"{a}.samples") + F.col(f"{b}.samples") - 2 * at * cells)
+    # what differs at the threshold, and the variance of that number
+    apart = F.when(whole, (1 - at) * union).otherwise(F.greatest(F.lit(0.0), taken - 2 * at * cells))
+    drawn = F.when(whole, 0.0).otherwise(4 * at * (1 - at) * cells * (1 - cells / union))
     even = F.exp(-2 * apart / ODD_BITS)
-    drawn = 4 * at * (1 - at) * cells * (1 - cells / union)  # variance of the number of samples that differ
     spread = F.sqrt(F.greatest(F.lit(0.0), ODD_BITS / 4 * (1 - even * even) + (drawn - apart) * even * even))
-    return like, near | (differ <= ODD_BITS / 2 * (1 - even) + MARGIN * spread)
+    most = ODD_BITS / 2 * (1 - even) + MARGIN * spread + 1
+    sizes = THRESHOLD * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n")) <= 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    near = F.when(whole, differ <= F.least(most, apart + 1e-6)).when(large, differ <= most).otherwise(True)
+    return -differ / taken, sizes & near
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

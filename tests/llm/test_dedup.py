@@ -154,23 +154,35 @@ def test_near_large_group_of_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(list(enumerate(texts)))
 
 
-@pytest.mark.parametrize("n", [8, 40, 150, 300, 1500, 6000, 20000])
-def test_sketches_estimate_within_their_margin(n):
-    """Pairs at the threshold: the deviation is the one that the margin is a multiple of, and none falls below the margin."""
-    m, rng, errors = minhash_dedup, np.random.default_rng(n), []
-    for _ in range(150 if n < 2000 else 40):
-        shared = -(-2 * n * 75 // 175)
-        u = rng.integers(1 << 63, size=2 * n - shared, dtype=np.int64).astype(np.uint64)
-        odd, samples = m._odd(np.concatenate([u[:n], u[:shared], u[n:]]), np.repeat([0, 1], [n, n]), 2)
-        differ = np.unpackbits((odd[0] ^ odd[1]).view(np.uint8)).sum()
-        apart = np.log(max(1 - 2 * differ / m.ODD_BITS, 1e-9)) / np.log(1 - 2 / m.ODD_BITS)
-        like = 0.75
-        for _ in range(2):
-            like = max(0, (samples.sum() - apart) / 2 / (m.SAMPLES * (1 - np.exp(-2 * n / (1 + like) / m.SAMPLES))))
-        errors.append(like - shared / len(u))
-    deviation = m.DEVIATION + m.CROWDED * samples.max() / m.SAMPLES
-    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 1.25 * deviation
-    assert min(errors) > -m.MARGIN * deviation - m.SMALL / samples.max()
+def sketched(spark, sets):
+    """Rows (i, n, samples, bitmap words) of the odd sketches of many sets of hashes."""
+    m = minhash_dedup
+    odd, samples = m._odd(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+    rows = [(i, len(s), int(k), *o.tolist()) for i, (s, k, o) in enumerate(zip(sets, samples, odd, strict=True))]
+    return spark.createDataFrame(rows, f"i long, n long, samples int, {', '.join(f'o{j} long' for j in range(m.ODD_BITS // 64))}")
+
+
+def kept_pairs(spark, pairs):
+    """How many of the pairs of sets the sketches let through."""
+    a, b = sketched(spark, [x for x, _ in pairs]).alias("x"), sketched(spark, [y for _, y in pairs]).alias("y")
+    return a.join(b, "i").filter(minhash_dedup._likely("x", "y")[1]).count()
+
+
+def random_pair(rng, union, share, own):
+    """Two sets of a union, that share so much of it; of the rest the first has the share ``own``."""
+    u = rng.integers(1 << 63, size=union, dtype=np.int64).astype(np.uint64)
+    common = -(-union * share // 100)
+    cut = common + round((union - common) * own)
+    return u[:cut], np.concatenate([u[:common], u[cut:]])
+
+
+@pytest.mark.parametrize("union", [1, 4, 9, 40, 167, 700, 2500, 4600, 7000, 20000])
+def test_sketches_keep_pairs_at_the_threshold_and_refute_those_below(spark, union):
+    rng, count = np.random.default_rng(union), 300 if union < 3000 else 60
+    for own in (0.5, 1.0, 0.9):
+        assert kept_pairs(spark, [random_pair(rng, union, 75, own) for _ in range(count)]) == count
+    if 40 <= union <= 700:
+        assert kept_pairs(spark, [random_pair(rng, union, 66, 0.5) for _ in range(count)]) < 0.1 * count
 
 
 @pytest.mark.parametrize("n", [10000, 20000, 60000])
