@@ -34,7 +34,7 @@ def main(args: list[str] | None = None) -> None:
             c.add_argument("--clear-from", type=int)
 
     db = ("--db", {"required": True})
-    classify = [db, ("--mode", {"default": "auto", "choices": ["auto", "shuffle", "broadcast"]}), ("--out", {"required": True}), ("--paired", {"action": "store_true"}), ("--confidence", {"type": float, "default": 0.0}), ("--min-hit-groups", {"type": int, "default": 2}), ("--kmer-data", {"action": "store_true"}), ("--zero-counts", {"action": "store_true"}), ("inputs", {"nargs": "+"})]
+    classify = [db, ("--mode", {"default": "auto", "choices": ["auto", "shuffle", "broadcast"]}), ("--out", {"required": True}), ("--paired", {"action": "store_true"}), ("--confidence", {"type": float, "default": 0.0}), ("--min-hit-groups", {"type": int, "default": 2}), ("--min-quality", {"type": int, "default": 0}), ("--kmer-data", {"action": "store_true"}), ("--zero-counts", {"action": "store_true"}), ("inputs", {"nargs": "+"})]
     command("merge-fna", ("--manifest", {"nargs": "+", "required": True}), ("--site", {"required": True}), ("--directory", {"required": True}), ("--out", {"required": True}))
     command("add-library", ("--directory", {"required": True}), ("inputs", {"nargs": "+"}))
     command("estimate", ("--load-factor", {"type": float, "default": 0.7}), ("--max-n", {"type": int, "default": 4}), ("inputs", {"nargs": "+"}), scheme=True)
@@ -62,7 +62,7 @@ def main(args: list[str] | None = None) -> None:
         api.build(genomes, taxonomy_files.read_nodes_with_names(spark, a.nodes, a.names), _scheme(a), known).save(a.db, a.buckets)
     elif a.command in ("classify", "direct"):
         mode = "broadcast" if a.command == "direct" else a.mode
-        found = api.classify(api.Database.load(spark, a.db), api.read_samples(spark, a.inputs, a.paired), mode, a.confidence, a.min_hit_groups)
+        found = api.classify(api.Database.load(spark, a.db), api.read_samples(spark, a.inputs, a.paired), mode, a.confidence, a.min_hit_groups, a.min_quality)
         api.write_results(found, a.out, a.kmer_data, a.zero_counts)
     elif a.command == "export":
         print(api.export_k2d(api.Database.load(spark, a.db), a.out, a.hash_capacity))

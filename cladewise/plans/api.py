@@ -116,12 +116,19 @@ class Classification:
 
 
 def prepare_reads(reads: DataFrame, scheme: Scheme, min_quality: int = 0) -> DataFrame:
-    """Reads (file_index, read_index, read_id, seq1, seq2 or null, qual1, qual2 if filtered) with position counts and length text."""
+    """Reads (file_index, read_index, read_id, seq1, seq2 or null, qual1, qual2 if filtered) with position counts and length text.
+
+    A quality threshold needs the columns of qualities; a read whose quality is null (FASTA) is an error.
+    """
+    if min_quality > 0 and "qual1" not in reads.columns:
+        raise ValueError("a quality threshold needs reads with qualities")
     for m in (1, 2):
         if f"seq{m}" not in reads.columns:
             reads = reads.withColumn(f"seq{m}", F.lit(None).cast("string"))
-        if min_quality and f"qual{m}" in reads.columns:
-            reads = reads.withColumn(f"seq{m}", fastx.mask_quality(F.col(f"seq{m}"), F.col(f"qual{m}"), min_quality))
+        if min_quality > 0 and f"qual{m}" in reads.columns:
+            lacks = F.col(f"seq{m}").isNotNull() & F.col(f"qual{m}").isNull()
+            checked = F.when(lacks, F.raise_error(F.concat(F.lit("no quality of read "), "read_id"))).otherwise(F.col(f"qual{m}"))
+            reads = reads.withColumn(f"seq{m}", fastx.mask_quality(F.col(f"seq{m}"), checked, min_quality))
     length = lambda c: F.length(F.col(c))
     n = {m: F.when(F.col(f"seq{m}").isNotNull(), minimizers.kmer_count(length(f"seq{m}"), scheme.k)) for m in (1, 2)}
     size = F.concat_ws("|", length("seq1").cast("string"), length("seq2").cast("string"))
@@ -149,19 +156,15 @@ def write_results(result: Classification, path: str, kmer_data: bool = False, ze
 
 
 def read_samples(spark: SparkSession, paths: list[str], paired: bool = False) -> DataFrame:
-    """Reads of FASTA or FASTQ files (one sample each, or pairs of files), interleaved pairs recognised by their names."""
+    """Reads of FASTA or FASTQ files (one sample each, or pairs of files) with qualities, interleaved pairs recognised by their names."""
     paths = discovery.expand_inputs(spark, paths)
-    if paired and len(paths) % 2:
+    if not paired:
+        return fastx.sample_reads(spark, paths)
+    if len(paths) % 2:
         raise ValueError("paired input needs an even number of files")
-    fastx.register(spark)
-    load = lambda p: spark.read.format("fastx").load(p)
     out = None
-    for i, group in enumerate(zip(paths[::2], paths[1::2], strict=True) if paired else ((p,) for p in paths)):
-        if paired:
-            rows = fastx.paired(load(group[0]), load(group[1]))
-        else:
-            rows = fastx.interleaved_pairs(load(group[0])).select("read_index", "read_id", "seq1", "seq2")
-        rows = rows.withColumn("file_index", F.lit(i + 1))
+    for i, group in enumerate(zip(paths[::2], paths[1::2], strict=True)):
+        rows = fastx.paired_reads(spark, *group).withColumn("file_index", F.lit(i + 1))
         out = rows if out is None else out.unionByName(rows)
     return out
 

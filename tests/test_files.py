@@ -1,6 +1,7 @@
-import glob
 import gzip
+import itertools
 import os
+import random
 import struct
 
 import pytest
@@ -13,84 +14,165 @@ from cladewise.plans import api
 from cladewise.sources import discovery, fastx, k2d, sinks, taxonomy_files
 from cladewise.streaming import classify as stream
 
-#: A folder with sample genomes (FASTA with taxid headers), interleaved FASTQ and taxonomy dumps, if there is one.
-DATA = os.environ.get("SAMPLE_DATA") or (glob.glob("/root/*/data/taxonomy/nodes.dmp") or [""])[0].removesuffix("/taxonomy/nodes.dmp")
-real = pytest.mark.skipif(not DATA, reason="sample genomes are not here")
+#: Nodes of the sample tree: taxid, parent, rank, name. 99 hangs from the root, no genome needs it.
+NODES = [(1, 1, "no rank", "root"), (10, 1, "superkingdom", "Viruses"), (20, 10, "clade", "Realm"), (30, 20, "family", "Fam"), (41, 30, "genus", "Gen A"), (42, 30, "genus", "Gen B"), (51, 41, "species", "Sp A"), (52, 41, "species", "Sp B"), (53, 42, "species", "Sp C"), (61, 51, "no rank", "Strain A1"), (99, 1, "superkingdom", "Others")]
+LENGTHS = {61: [30_000], 52: [2000, 1800, 1500, 900, 700, 2300, 1000, 1400], 53: [9000]}
 
 
-def _by_taxid():
-    out = {}
-    for path in sorted(glob.glob(f"{DATA}/*.f*a")) if DATA else []:
-        with open(path) as f:
-            out[int(f.readline().split("|")[1])] = path
-    return out
+def dna(rng, n):
+    return "".join(rng.choice("ACGT") for _ in range(n))
 
 
-GENOMES = _by_taxid()
-CORONA, HIV, FLU_B = (GENOMES.get(t) for t in (2697049, 11676, 518987))
-PAIRS = (glob.glob(f"{DATA}/*.fastq") or [None])[0] if DATA else None
+@pytest.fixture(scope="module")
+def sample(tmp_path_factory):
+    """A folder with genomes (FASTA by taxid), interleaved FASTQ and taxonomy dumps; and the sequences."""
+    rng, folder = random.Random(8), tmp_path_factory.mktemp("sample")
+    (folder / "nodes.dmp").write_text("".join(f"{t}\t|\t{p}\t|\t{r}\t|\t\t|\n" for t, p, r, _ in NODES))
+    (folder / "names.dmp").write_text("".join(f"{t}\t|\t{n}\t|\t\t|\tscientific name\t|\n{t}\t|\tother {n}\t|\t\t|\tsynonym\t|\n" for t, _, _, n in NODES))
+    seqs = {t: [dna(rng, n) for n in sizes] for t, sizes in LENGTHS.items()}
+    for t, own in seqs.items():
+        (folder / f"{t}.fa").write_text("".join(f">taxid|{t}|s{i} part {i}\n" + "".join(f"{x[j : j + 70]}\n" for j in range(0, len(x), 70)) for i, x in enumerate(own)))
+    with open(folder / "pairs.fastq", "w") as f:
+        for i in range(3):
+            for m in (1, 2):
+                at = rng.randrange(20_000)
+                f.write(f"@pair_{i}/{m}\n{seqs[61][0][at : at + 50]}\n+\n{'@' if m == 1 else 'I'}{'I' * 49}\n")
+    return folder, seqs
 
 
 @pytest.fixture(scope="module")
-def database(spark):
-    nodes = taxonomy_files.read_nodes_with_names(spark, f"{DATA}/taxonomy/nodes.dmp", f"{DATA}/taxonomy/names.dmp")
-    genomes = fastx.library_sequences(fastx.read_fasta(spark, list(GENOMES.values())))
+def database(spark, sample):
+    folder, _ = sample
+    nodes = taxonomy_files.read_nodes_with_names(spark, f"{folder}/nodes.dmp", f"{folder}/names.dmp")
+    genomes = fastx.library_sequences(fastx.read_fasta(spark, [f"{folder}/{t}.fa" for t in LENGTHS]))
     return api.build(genomes, nodes, Scheme())
 
 
-@real
-def test_taxonomy_files(spark):
-    nodes = taxonomy_files.read_nodes(spark, f"{DATA}/taxonomy/nodes.dmp")
-    assert nodes.count() == 39 and nodes.filter("taxid = 1").first().parent == 0
-    tree = tax.with_paths(taxonomy_files.read_nodes_with_names(spark, f"{DATA}/taxonomy/nodes.dmp", f"{DATA}/taxonomy/names.dmp"))
-    small = tax.trim(tree, spark.createDataFrame([(11676,), (211044,), (2697049,)], "taxid long"))
+def test_taxonomy_files(spark, sample):
+    folder, _ = sample
+    nodes = taxonomy_files.read_nodes(spark, f"{folder}/nodes.dmp")
+    assert nodes.count() == len(NODES) and nodes.filter("taxid = 1").first().parent == 0
+    tree = tax.with_paths(taxonomy_files.read_nodes_with_names(spark, f"{folder}/nodes.dmp", f"{folder}/names.dmp"))
+    assert {r.taxid: r.name for r in tree.collect()} == {t: n for t, _, _, n in NODES}
+    small = tax.trim(tree, spark.createDataFrame([(t,) for t in LENGTHS], "taxid long"))
     ids = {r.internal_id: r.taxid for r in tax.number_nodes(small).collect()}
-    # Level-order numbers of the trimmed sample tree.
-    assert [ids[i] for i in range(1, 26)] == [1, 10239, 2169561, 2559587, 11632, 76804, 2497569, 327045, 2499399, 2497571, 11646, 11118, 2497577, 11676, 2501931, 2499411, 694002, 11308, 2509511, 197911, 694009, 11320, 2697049, 114727, 211044]
-    codes = [r.rank_code for r in tax.described(tree).join(tree.filter("taxid = 2697049").select(F.explode("path").alias("taxid")), "taxid").orderBy("depth").collect()]
-    assert codes == ["R", "D", "D1", "O", "O1", "F", "F1", "G", "G1", "S", "S1"]
+    assert [ids[i] for i in range(1, 11)] == [1, 10, 20, 30, 41, 42, 51, 52, 53, 61] and len(ids) == 10
+    codes = [r.rank_code for r in tax.described(tree).join(tree.filter("taxid = 61").select(F.explode("path").alias("taxid")), "taxid").orderBy("depth").collect()]
+    assert codes == ["R", "D", "D1", "F", "G", "S", "S1"]
 
 
-@real
-def test_fasta_scan(spark):
+def test_fasta_scan(spark, sample):
+    folder, seqs = sample
     fastx.register(spark)
-    for path, n, total in ((FLU_B, 8, 14452), (CORONA, 1, 29903)):
-        text = fastx.read_fasta(spark, path).collect()
-        source = spark.read.format("fastx").load(path).collect()
-        assert len(text) == n and sorted(r.seq for r in text) == sorted(r.seq for r in source)
-        assert abs(sum(len(r.seq) for r in text) - total) < 20
-    assert fastx.library_sequences(fastx.read_fasta(spark, HIV)).first().taxid == 11676
-
-
-@real
-def test_interleaved_pairs(spark):
-    pairs = fastx.interleaved_pairs(fastx.read_fastq(spark, PAIRS)).orderBy("read_index").collect()
-    assert len(pairs) == 3 and pairs[0].read_id == "pair_A" and all(len(p.seq1) == len(p.seq2) == 50 for p in pairs)
+    for t, own in seqs.items():
+        text = fastx.read_fasta(spark, f"{folder}/{t}.fa").collect()
+        source = spark.read.format("fastx").load(f"{folder}/{t}.fa").collect()
+        assert sorted(r.seq for r in text) == sorted(r.seq for r in source) == sorted(own)
+    assert {r.taxid for r in fastx.library_sequences(fastx.read_fasta(spark, f"{folder}/52.fa")).collect()} == {52}
+
+
+def test_interleaved_pairs(spark, sample):
+    folder, seqs = sample
+    reads = api.read_samples(spark, [f"{folder}/pairs.fastq", f"{folder}/52.fa"])
+    pairs = reads.filter("file_index = 1").orderBy("read_index").collect()
+    assert [(p.read_index, p.read_id, p.qual1[0], p.qual2[0]) for p in pairs] == [(i + 1, f"pair_{i}", "@", "I") for i in range(3)]
+    assert all(len(p.seq1) == len(p.seq2) == 50 and p.seq1 in seqs[61][0] for p in pairs)
+    assert [(r.read_index, r.seq1, r.seq2) for r in reads.filter("file_index = 2").orderBy("read_index").collect()] == [(i + 1, x, None) for i, x in enumerate(seqs[52])]
+    assert [(r.record, r.description, len(r.seq), len(r.qual)) for r in fastx.read_fastq(spark, f"{folder}/pairs.fastq").orderBy("record").collect()] == [(i, "", 50, 50) for i in range(6)]
+
+
+def _reads_by_hand(records):
+    """Consecutive records of one name, two and two."""
+    base = lambda n: n.split()[0].removesuffix("/1").removesuffix("/2")
+    out = []
+    for _, run in itertools.groupby(records, key=lambda r: base(r[0])):
+        run = list(run)
+        for i in range(0, len(run), 2):
+            out.append((len(out) + 1, *run[i], *(run[i + 1][1:] if i + 1 < len(run) else (None, None))))
+    return out
 
 
-@real
-def test_whole_genome_report(spark, database):
-    assert database.stats["value_bits"] == 6
-    reads = api.read_samples(spark, [CORONA])
-    found = api.classify(database, reads)
+@pytest.mark.parametrize("longest_run", [3, 40])
+def test_splits_do_not_change_the_reads(spark, tmp_path, longest_run):
+    """One split and many: the same reads and numbers, whatever stands at a border (qualities that begin with @ or +, too)."""
+    rng, records = random.Random(longest_run), []
+    while len(records) < 150:
+        for m in range(rng.choice([1, 2, 2, longest_run])):
+            n = rng.randrange(1, 40)
+            records.append((f"r{len(records) - m}/{m % 2 + 1} x", dna(rng, n), "".join(rng.choice("@+!I#5") for _ in range(n))))
+    (tmp_path / "a.fastq").write_text("".join(f"@{h}\n{s}\n+\n{q}\n" for h, s, q in records))
+    (tmp_path / "a.fa").write_text("".join(f">{h}\n{s[:9]}\n{s[9:]}\n" for h, s, _ in records))
+    settings = {"spark.sql.files.maxPartitionBytes": "128m", "spark.sql.files.openCostInBytes": "4m"}
+    try:
+        for size in ("128m", "701"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = fastx.scan_reads(spark, str(tmp_path / "a.fastq"), pairs=True)
+            assert sorted(tuple(r)[1:] for r in rows.collect()) == _reads_by_hand(records)
+            assert sorted(tuple(r)[1:5] for r in fastx.scan_reads(spark, str(tmp_path / "a.fastq")).collect()) == [(i + 1, *r) for i, r in enumerate(records)]
+            rows = fastx.scan_reads(spark, str(tmp_path / "a.fa"), pairs=True).select("read_index", "header", "seq1", "seq2").collect()
+            assert sorted(map(tuple, rows)) == [(r[0], r[1], r[2], r[4]) for r in _reads_by_hand(records)]
+    finally:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+
+
+def test_paired_files(spark, tmp_path):
+    for m in (1, 2):
+        (tmp_path / f"{m}.fastq").write_text("".join(f"@r{i}/{m}\n{'ACGT'[m] * (i + 1)}\n+\n{'I' * (i + 1)}\n" for i in range(4)))
+    rows = api.read_samples(spark, [str(tmp_path / "1.fastq"), str(tmp_path / "2.fastq")], paired=True).orderBy("read_index").collect()
+    assert [(r.file_index, r.read_index, r.read_id, r.seq1, r.seq2, r.qual2) for r in rows] == [(1, i + 1, f"r{i}", "C" * (i + 1), "G" * (i + 1), "I" * (i + 1)) for i in range(4)]
+    with pytest.raises(ValueError):
+        api.read_samples(spark, [str(tmp_path / "1.fastq")], paired=True)
+
+
+def test_quality_threshold_reaches_the_calls(spark, sample, database, tmp_path):
+    folder, seqs = sample
+    good, bad = seqs[61][0][:60], seqs[61][0][100:160]
+    (tmp_path / "q.fastq").write_text(f"@a\n{good}\n+\n{'I' * 60}\n@b\n{bad}\n+\n{'I' * 30}!{'I' * 29}\n")
+    reads = api.read_samples(spark, [str(tmp_path / "q.fastq")])
+    calls = {r.read_id: r.call for r in api.classify(database, reads, min_quality=20).calls.collect()}
+    assert calls == {"a": 61, "b": 0}
+    assert {r.call for r in api.classify(database, reads).calls.collect()} == {61}
+    masked = api.prepare_reads(reads, database.scheme, 20).filter("read_id = 'b'").first()
+    assert masked.seq1 == bad[:30] + "N" + bad[31:]
+    with pytest.raises(ValueError, match="qualit"):
+        api.prepare_reads(reads.drop("qual1", "qual2"), database.scheme, 20)
+    with pytest.raises(Exception, match="no quality"):
+        api.classify(database, api.read_samples(spark, [f"{folder}/53.fa"]), min_quality=20).calls.collect()
+
+
+def test_whole_genome_report(spark, sample, database):
+    folder, seqs = sample
+    assert database.stats["value_bits"] == 4
+    found = api.classify(database, api.read_samples(spark, [f"{folder}/61.fa"]))
     line = found.lines().first()
-    assert (line.status, line.taxid, line.seq_len) == ("C", 2697049, "29903")
-    assert sum(int(t.split(":")[1]) for t in line.hit_string.split()) == 29869
+    assert (line.status, line.taxid, line.seq_len) == ("C", 61, "30000")
+    assert sum(int(t.split(":")[1]) for t in line.hit_string.split()) == 30_000 - 34
     rows = [(r.clade_reads, r.taxon_reads, r.rank_code, r.taxid) for r in found.kreport().orderBy("ord").collect()]
-    # The published report of this genome.
-    assert rows == [(1, 0, c, t) for c, t in [("R", 1), ("D", 10239), ("D1", 2559587), ("O", 76804), ("O1", 2499399), ("F", 11118), ("F1", 2501931), ("G", 694002), ("G1", 2509511), ("S", 694009)]] + [(1, 1, "S1", 2697049)]
+    assert rows == [(1, 0, c, t) for c, t in [("R", 1), ("D", 10), ("D1", 20), ("F", 30), ("G", 41), ("S", 51)]] + [(1, 1, "S1", 61)]
 
 
-@real
-def test_modes_agree_and_results_are_written(spark, database, tmp_path):
-    reads = api.read_samples(spark, [FLU_B, PAIRS])
+def test_modes_agree_and_results_are_written(spark, sample, database, tmp_path):
+    folder, _ = sample
+    reads = api.read_samples(spark, [f"{folder}/52.fa", f"{folder}/pairs.fastq"])
     a, b = (sorted(map(tuple, api.classify(database, reads, mode).lines().collect())) for mode in ("shuffle", "broadcast"))
     assert a == b and len(a) == 11
-    api.write_results(api.classify(database, reads), str(tmp_path))
-    assert spark.read.text(f"{tmp_path}/output").count() == 11 and spark.read.text(f"{tmp_path}/kreport_all").count() > 3
+    found = api.classify(database, reads)
+    api.write_results(found, str(tmp_path))
+    assert spark.read.text(f"{tmp_path}/output").count() == 11
+    alone = [r.value for r in sinks.kreport_lines(found.kreport()).orderBy("ord").collect()]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/kreport_all").collect()] == alone and len(alone) == 8
+    by_file = spark.read.text(f"{tmp_path}/kreport").groupBy("file_index").count().collect()
+    assert {r.file_index: r["count"] for r in by_file} == {1: 6, 2: 7}
+    sinks.write_hits(found.hits, f"{tmp_path}/hits", 2)
+    assert spark.read.parquet(f"{tmp_path}/hits").count() == found.hits.count()
+    sinks.write_mpa(found.mpa(), f"{tmp_path}/mpa")
+    assert spark.read.text(f"{tmp_path}/mpa").filter("value LIKE '%s__Sp B\t8'").count() == 1
+    sinks.write_sample_map(spark.createDataFrame([(1, ["x", "y"]), (2, ["z"])], "file_index int, paths array<string>"), f"{tmp_path}/samples")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/samples").collect()) == ["1\tx,y", "2\tz"]
 
 
-@real
 def test_database_round_trips(spark, database, tmp_path):
     database.save(str(tmp_path / "db"), 3)
     again = api.Database.load(spark, str(tmp_path / "db"))
@@ -198,9 +280,8 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in discovery.grouped_files(grouped, "sample_file", ".bin").collect()] == [(1, ["a", "b"])]
 
 
-@real
-def test_stream_gives_what_a_table_gives(spark, database, tmp_path):
-    reads = api.read_samples(spark, [FLU_B]).select("file_index", "read_index", "read_id", "seq1", "seq2")
+def test_stream_gives_what_a_table_gives(spark, sample, database, tmp_path):
+    reads = api.read_samples(spark, [f"{sample[0]}/52.fa"]).select("file_index", "read_index", "read_id", "seq1", "seq2")
     reads.repartition(3).write.parquet(str(tmp_path / "in"))
     stream.classify_stream(stream.reads_stream(spark, str(tmp_path / "in"), 1), database, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "calls")).select("read_index", "call").collect()
@@ -209,8 +290,6 @@ def test_stream_gives_what_a_table_gives(spark, database, tmp_path):
 
 
 def test_index_with_shared_and_own_minimizers(spark):
-    import random
-
     random.seed(3)
     text = lambda n: "".join(random.choice("ACGT") for _ in range(n))
     shared, a, b = text(80), text(80), text(80)
@@ -222,7 +301,6 @@ def test_index_with_shared_and_own_minimizers(spark):
     assert sizes.capacity == -(-(sizes.estimate + 8192) * 10 // 7)
 
 
-@real
 def test_bucketed_index_is_not_shuffled(spark, database):
     index.write_index(database.index, "bucketed_index", 4)
     kmers = spark.createDataFrame([(1, 5, 7)], "read_index int, pos int, hash long")
