@@ -7,9 +7,7 @@ memory of a Python worker follows ``SLICE_BYTES`` (or the longest single documen
 from __future__ import annotations
 
 import functools
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 18
 SLICE_ROWS = 2048
 CHUNK = 1 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_BREAKS = (0x20, *range(0x09, 0x0E))
 U64 = np.uint64
 
@@ -40,6 +39,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:  # unset, as in tests
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scratch-"))
             base = spark.sparkContext.getCheckpointDir()
         self.base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -52,20 +53,17 @@ class Scratch:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
+        """Writes and rereads; the shuffle files of the plan that was written go as soon as it is done."""
+        path, conf = f"{self.base}/{name}", self.spark.conf
         self.names.add(name)
-        df.write.mode("overwrite").parquet(path)
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that nothing refers to any more.
-
-        The event of a query's end refers to its plan until the listeners have seen it, hence the pause.
-        """
-        time.sleep(0.5)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing left to run reads."""
         for name in names:

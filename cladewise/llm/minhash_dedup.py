@@ -135,7 +135,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = some.select("id", "c", "s1", "s2")
     texts = rows.join(chosen, rows.doc_id == chosen.id).select(F.col("c").alias("id"), "text", "s1", "s2")
     sets = scratch.table(_matching(texts), "sets")
-    scratch.release()
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
@@ -161,13 +160,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = confirmed(estimated(banded.filter("c <> star").select(F.col("c").alias("a"), F.col("star").alias("b")).distinct(), 3), "links-0")
     for r in range(ROUNDS):
-        scratch.release()
         row = grouped(links, f"round-{r}")
         picks = [F.min_by("c", F.xxhash64("c", F.lit(r * DELEGATES + i))) for i in range(DELEGATES)]
         heads = row.filter("g = major").groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("heads"))
         near = row.filter("g <> major").join(heads, "key").select(F.col("c").alias("a"), F.explode("heads").alias("b")).distinct()
         links = scratch.table(links.unionByName(confirmed(estimated(near, 3), f"more-{r}")), f"links-{r + 1}")
-    scratch.release()
     row = grouped(links, "rest")
     full = row.join(some.select("c", "n", "samples", "bands", *odd), "c")
     outer, inner = full.filter("g <> major").alias("x"), full.alias("y")
@@ -188,7 +185,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
     out = scratch.table(out, "out")
     scratch.clear("out")
-    scratch.release()
     return out
 
 

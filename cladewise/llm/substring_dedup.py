@@ -1,17 +1,20 @@
 """Substring dedup behind a count-min prefilter.
 
-Pass 1: each task counts the 20-word windows of its documents into a sketch of ``DEPTH`` rows; the tasks' sketches are merged slice by
-slice into saturated counts (0, 1, 2 or more), which never underestimate. Pass 2: only windows estimated to occur twice or more are
-grouped, exactly, by 96-bit keys; a window seen once for sure is never shuffled, and none that repeats is missed. Of the occurrences
-of a window in one task only the first travels: a later one is removed whatever the others hold, so a passage that every document
-shares costs one record for each task and not one for each document.
+Documents are dealt into parts of about ``PART_BYTES``. Pass 1: each part counts its 20-word windows into its own sketch of ``DEPTH`` rows;
+the sketches of all parts are merged slice by slice into counts that never underestimate, and the owner of a slice answers
+each part which of the cells that it sent once count two or more. Pass 2, over the same exchange of documents: only windows estimated to occur
+twice or more are grouped, exactly, by 96-bit keys from two independent hashes of their words; a window seen once for sure is
+not shuffled, and none that repeats is missed. Of the occurrences of a window in one part only the first travels: a later one is removed
+whatever the others hold, so a passage that every document shares costs one record for each part and not one for each document.
 
-The sketch follows the input (``BITS_PER_BYTE`` of text) up to ``MAX_BITS``, the bound on what is broadcast (64 MB). Beyond it more
-windows that occur once pass the filter and are grouped too: more is shuffled, nothing is lost.
+The sketch has one to two cells a byte of text in each row, about 0.1 windows a cell at any size, and is nowhere held as a whole: nothing is
+broadcast. A part sends its cells as gaps of one to a few bytes. A task holds one part or one slice (about ``OWNED`` cells);
+a single longer document is a part of its own.
 
 Defined cases: null text has no words; a document of fewer than ``width`` words loses nothing; rows that share an identifier are
-documents of their own whose windows at the same start are equally early; null identifiers count as the largest; an empty table gives
-an empty result; other columns are not read.
+documents of their own whose windows at the same start are equally early (rows repeated in full lose the same words); null identifiers count
+as the largest; of equal windows in one document the earliest start stays; very long texts are read whole; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,115 +24,143 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.parallel import dealt
 from .common import Scratch, documents, mix, ranges, slices, span_hashes, text_buffer, window_hashes, words
 
 WIDTH = 20
 DEPTH = 2
-BITS_PER_BYTE = 0.5
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
-SLICE = 1 << 20
-FLUSH = 2_000_000
-HELD = 1_000_000
+PART_BYTES = 1 << 23
+OWNED = 1 << 24
+LEAST_SLICES = 256
 TAG_BITS = 24
 LAST = (1 << 63) - 1
 
 
-def _windows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key of every window of the batch, second key, row, and start (in words of that row)."""
+def _windows(batch: pa.RecordBatch, width: int, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key of every window of the batch, second key (if asked for), row, and start (in words of that row)."""
     data, offsets = text_buffer(batch.column("text"))
     starts, ends, first = words(data, offsets)
     at, row = ranges(first[:-1], np.maximum(np.diff(first) - width + 1, 0))
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), row, at
-    word = span_hashes(data, starts, ends)
-    return window_hashes(word, at, width, 31), window_hashes(mix(word + np.uint64(0x9E3779B97F4A7C15)), at, width, 47), row, at - first[row]
-
-
-def _cells(key: np.ndarray, log_width: int) -> list[np.ndarray]:
-    """The cell of each key in each row of the sketch."""
-    mask = np.uint64((1 << log_width) - 1)
-    return [((key >> np.uint64(r * 28)) & mask).astype(np.uint32) + np.uint32(r << log_width) for r in range(DEPTH)]
-
-
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) if len(a) else b""
-
-
-def _unpack(b: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8) if b else np.zeros(0, np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
-
-
-def _sketch(width: int, log_width: int):
-    """Each task's sketch, as sorted cells by slice: those counted once, those counted more often."""
-
-    def flushed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cells = np.sort(np.concatenate(held))
-        new = np.ones(len(cells), bool)
-        new[1:] = cells[1:] != cells[:-1]
-        at = np.flatnonzero(new)
-        more = np.diff(np.append(at, len(cells))) > 1
-        out: tuple[list, list, list] = ([], [], [])
-        for part, kind in ((cells[at[~more]], 1), (cells[at[more]], 2)):
-            bounds = np.searchsorted(part, np.arange(0, (DEPTH << log_width) + 1, SLICE))
-            for s in np.flatnonzero(np.diff(bounds)):
-                own = part[bounds[s] : bounds[s + 1]] - np.uint32(s * SLICE)
-                for column, value in zip(out, (int(s), kind, _pack(np.diff(own, prepend=np.uint32(0)))), strict=True):
-                    column.append(value)
-        yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["slice", "times", "cells"])
+    key = window_hashes(span_hashes(data, starts, ends), at, width, 31)
+    other = window_hashes(span_hashes(data, starts, ends, 13), at, width, 47) if second else key
+    return key, other, row, at - first[row]
+
+
+def _cells(key: np.ndarray, row: int, log_width: int) -> np.ndarray:
+    """The cell of each key in a row of the sketch."""
+    return mix(key ^ np.uint64(row)) & np.uint64((1 << log_width) - 1) | np.uint64(row << log_width)
+
+
+def pack_gaps(gap: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Numbers as base-128 digits, least first, the last digit of each below 128; one binary value for each range of ``bounds``."""
+    digits = np.ones(len(gap), np.int64)
+    for i in range(1, 10):
+        more = gap >> np.uint64(7 * i) > 0
+        if not more.any():
+            break
+        digits[more] = i + 1
+    end = np.cumsum(digits)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for i in range(int(digits.max()) if len(digits) else 0):
+        own = np.flatnonzero(digits > i)
+        out[end[own] - digits[own] + i] = (gap[own] >> np.uint64(7 * i) & np.uint64(127)).astype(np.uint8) | ((digits[own] > i + 1).astype(np.uint8) << 7)
+    offsets = np.concatenate([[0], end])[bounds]
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)])
+
+
+def unpack_gaps(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all values, and how many each value has."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    digits = last - first + 1
+    gap = np.zeros(len(last), np.uint64)
+    for i in range(int(digits.max()) if len(digits) else 0):
+        own = np.flatnonzero(digits > i)
+        gap[own] |= (data[first[own] + i] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * i)
+    return gap, np.diff(np.searchsorted(last, offsets - offsets[0]))
+
+
+def _sums(gap: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Running sums of the gaps inside each run of ``count``."""
+    total = np.cumsum(gap)
+    start = np.cumsum(count) - count
+    before = np.where(start > 0, total[np.maximum(start, 1) - 1], np.uint64(0)) if len(total) else np.zeros(len(count), np.uint64)
+    return total - np.repeat(before, count)
+
+
+def _heads(cells: np.ndarray) -> np.ndarray:
+    """Where runs of equal cells begin in sorted ones."""
+    return np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+
+
+def _sketch(width: int, log_width: int, log_slice: int):
+    """A part's sketch: for each slice, the cells counted once and those counted more often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        part, keys = None, []
         for batch in batches:
-            for part in slices(batch):
-                key = _windows(part, width)[0]
-                held += _cells(key, log_width)
-                n += len(key)
-                if n >= FLUSH:
-                    yield from flushed(held)
-                    held, n = [], 0
-        if n:
-            yield from flushed(held)
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            keys += [_windows(b, width, False)[0] for b in slices(batch)]
+        key = np.concatenate([np.zeros(0, np.uint64), *keys])
+        keys.clear()
+        for row in range(DEPTH if len(key) else 0):
+            cells = np.sort(_cells(key, row, log_width))
+            at = _heads(cells)
+            more = np.diff(np.append(at, len(cells))) > 1
+            cells = cells[at]
+            own = np.unique(cells >> np.uint64(log_slice))
+            columns = []
+            for some in (cells[~more], cells[more]):
+                of = some >> np.uint64(log_slice)
+                bounds = np.append(np.searchsorted(of, own), len(of))
+                gap = np.diff(some & np.uint64((1 << log_slice) - 1), prepend=np.uint64(0))
+                head = bounds[:-1][np.diff(bounds) > 0]
+                gap[head] = some[head] & np.uint64((1 << log_slice) - 1)
+                columns.append(pack_gaps(gap, bounds).cast(pa.binary()))
+            yield pa.record_batch([pa.array(np.full(len(own), part, np.int64)), pa.array(own.astype(np.int64)), *columns], names=["part", "slice", "once", "more"])
 
     return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the sketches of all tasks, slice by slice; rows come sorted by slice."""
-
-    def done(s: int, count: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], names=["slice", "twice"])
-
-    at, count = None, np.zeros(SLICE, np.uint8)
-    for batch in batches:
-        for s, times, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if s != at:
-                if at is not None:
-                    yield done(at, count)
-                at, count = s, np.zeros(SLICE, np.uint8)
-            own = np.cumsum(_unpack(cells, np.uint32))
-            count[own] = np.minimum(count[own] + np.uint8(times), 2)
-    if at is not None:
-        yield done(at, count)
-
-
-def _candidates(width: int, log_width: int, twice):
-    """Windows estimated repeated: the first of each key in the task as one row each, later ones as known marks of their documents."""
-
-    def flushed(held: list[tuple]) -> pa.RecordBatch:
-        k1, k2, doc, tag, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+    """Adds up a slice of all parts; answers each part which of the cells that it has once count two or more."""
+    held = [b for b in batches if b.num_rows]
+    table = pa.Table.from_batches(held).combine_chunks()
+    once, n = unpack_gaps(table.column("once").chunk(0))
+    once = _sums(once, n)
+    more, m = unpack_gaps(table.column("more").chunk(0))
+    more = _sums(more, m)
+    cells = np.concatenate([once, more, more])
+    order = np.argsort(cells)
+    cells = cells[order]
+    run = np.diff(np.append(_heads(cells), len(cells)))
+    repeated = np.empty(len(cells), bool)
+    repeated[order] = np.repeat(run > 1, run)
+    repeated = repeated[: len(once)]
+    # the bits of each part begin a byte of their own
+    size = -(-n // 8)
+    bits = np.zeros(int(size.sum()) * 8, bool)
+    bits[np.repeat(8 * (np.cumsum(size) - size), n) + np.arange(len(once)) - np.repeat(np.cumsum(n) - n, n)] = repeated
+    packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(np.packbits(bits))])
+    yield pa.record_batch([table.column("part").chunk(0), table.column("slice").chunk(0), packed], names=["part", "slice", "bits"])
+
+
+def _found(width: int, log_width: int, log_slice: int):
+    """Windows estimated repeated: the first of each key in the part as one row each, later ones as known marks of their documents."""
+
+    def firsts(k1, k2, doc, tag, pos) -> pa.Table:
         order = np.lexsort((tag, pos, doc, k2, k1))
         k1, k2, doc, tag, pos = (x[order] for x in (k1, k2, doc, tag, pos))
         new = np.ones(len(k1), bool)
         new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
         later = (doc != doc[head]) | (pos != pos[head])
         # of rows repeated in full one is enough
         first = ~later
@@ -145,25 +176,47 @@ def _candidates(width: int, log_width: int, twice):
             np.r_[doc[first], d[at]],
             np.r_[pos[first] << TAG_BITS | tag[first], t[at]],
         ]
-        return pa.record_batch([*map(pa.array, columns), pa.concat_arrays([pa.nulls(int(first.sum()), known.type), known])], names=["k1", "k2", "doc", "place", "known"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, n = np.frombuffer(twice.value, np.uint8), [], 0
-        for batch in batches:
+        return pa.table([*map(pa.array, columns), pa.concat_arrays([pa.nulls(int(first.sum()), known.type), known])], names=["k1", "k2", "doc", "place", "known"])
+
+    def estimated(key: np.ndarray, row: int, told: np.ndarray, bits: pa.ChunkedArray) -> np.ndarray:
+        """Whether the merged sketch's row counts two or more for each key."""
+        cells = _cells(key, row, log_width)
+        order = np.argsort(cells)
+        cells = cells[order]
+        at = _heads(cells)
+        run = np.diff(np.append(at, len(cells)))
+        twice = run > 1
+        once = np.flatnonzero(~twice)
+        found, n = np.unique(cells[at[once]] >> np.uint64(log_slice), return_counts=True)
+        full = np.isin(told, found.astype(np.int64))  # a slice in which the part has nothing once needs no answer
+        if int(full.sum()) != len(found):
+            raise RuntimeError("a part lacks answers of the sketch")
+        size = -(-n // 8)
+        answer = np.unpackbits(np.frombuffer(b"".join(bits.filter(pa.array(full)).to_pylist()), np.uint8))
+        twice[once] = answer[np.repeat(8 * (np.cumsum(size) - size) - (np.cumsum(n) - n), n) + np.arange(len(once))] > 0
+        out = np.empty(len(cells), bool)
+        out[order] = np.repeat(twice, run)
+        return out
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        held = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        n = 0
+        for batch in docs.to_batches():
             for part in slices(batch):
-                k1, k2, row, pos = _windows(part, width)
-                keep = np.arange(len(k1))
-                for cell in _cells(k1, log_width):
-                    cell = cell[keep]
-                    keep = keep[(bits[cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8)) & np.uint8(1) > 0]
-                doc, tag = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "tag"))
-                held.append((k1[keep], k2[keep].astype(np.uint32), doc[row[keep]], tag[row[keep]], pos[keep].astype(np.int64)))
-                n += len(keep)
-                if n >= HELD:
-                    yield flushed(held)
-                    held, n = [], 0
-        if n:
-            yield flushed(held)
+                k1, k2, row, pos = _windows(part, width, True)
+                held.append((k1, k2.astype(np.uint32), (row + n).astype(np.int32), pos.astype(np.int32)))
+                n += part.num_rows
+        k1 = np.concatenate([x[0] for x in held])
+        keep = np.ones(len(k1), bool)
+        if len(k1):
+            answers = answers.sort_by("slice")
+            for row in range(DEPTH):
+                keep &= estimated(k1, row, answers.column("slice").to_numpy(), answers.column("bits"))
+        k1 = k1[keep]
+        k2, row, pos = (np.concatenate([x[i] for x in held])[keep] for i in (1, 2, 3))
+        held.clear()
+        doc, tag = (docs.column(c).to_numpy().astype(np.int64)[row] for c in ("doc", "tag"))
+        return firsts(k1, k2, doc, tag, pos.astype(np.int64))
 
     return run
 
@@ -192,22 +245,25 @@ def _cut(width: int):
     return run
 
 
-def _repeated(rows: DataFrame, width: int, log_width: int) -> Broadcast:
-    """The cells of the merged sketch that count two or more, as a broadcast bitmap."""
-    n_slices = -(-(DEPTH << log_width) // SLICE)
-    sketch = rows.select("text").mapInArrow(_sketch(width, log_width), "slice int, times int, cells binary")
-    merged = sketch.repartition(min(n_slices, 512), "slice").sortWithinPartitions("slice").mapInArrow(_merge, "slice int, twice binary")
-    twice = bytearray(n_slices * SLICE // 8)
-    parts = merged.collect()  # n_slices rows of 128 KB: MAX_BITS at most
-    while parts:
-        s, part = parts.pop()
-        twice[s * SLICE // 8 : s * SLICE // 8 + len(part)] = part
-    return rows.sparkSession.sparkContext.broadcast(twice)
-
-
-def _marks(rows: DataFrame, width: int, log_width: int, twice: Broadcast) -> DataFrame:
+def candidates(rows: DataFrame, width: int = WIDTH, part_bytes: int = PART_BYTES, owned: int = OWNED) -> DataFrame:
+    """Windows of ``rows`` (doc, tag, text) that the merged sketch estimates repeated: k1, k2, doc, place (start and tag), known (marks)."""
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    log_width = max(16, int(size).bit_length())
+    n_slices = max(LEAST_SLICES, (size // 5 * DEPTH) // owned)  # words have some letters and a blank
+    log_slice = log_width + DEPTH.bit_length() - 1 - int(n_slices - 1).bit_length()
+    parts = max(8 * spark.sparkContext.defaultParallelism, -(-size // part_bytes))
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc", "tag"), F.lit(parts))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts // 8)
+    # both passes read this one exchange
+    own = rows.withColumn("part", place).repartition(tasks, "part")
+    sketch = own.groupBy("part").applyInArrow(_sketch(width, log_width, log_slice), "part long, slice long, once binary, more binary")
+    answers = sketch.groupBy("slice").applyInArrow(_merge, "part long, slice long, bits binary")
+    return own.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_found(width, log_width, log_slice), "k1 long, k2 int, doc long, place long, known array<int>")
+
+
+def _marks(found: DataFrame) -> DataFrame:
     """(doc, tag, marks): starts of the windows of each document that start earlier elsewhere."""
-    found = dealt(rows).mapInArrow(_candidates(width, log_width, twice), "k1 long, k2 int, doc long, place long, known array<int>")
     start = F.shiftright("place", TAG_BITS)
     rank = F.rank().over(Window.partitionBy("k1", "k2").orderBy("doc", start))
     later = found.withColumn("rank", rank).filter("known is not null or rank > 1")
@@ -215,20 +271,15 @@ def _marks(rows: DataFrame, width: int, log_width: int, twice: Broadcast) -> Dat
     return later.select("doc", tag.alias("tag"), F.coalesce("known", F.array(start.cast("int"))).alias("marks")).groupBy("doc", "tag").agg(F.flatten(F.collect_list("marks")).alias("marks"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, part_bytes: int = PART_BYTES, owned: int = OWNED) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text."""
     scratch = Scratch(docs.sparkSession)
     own_id = F.col(id_col).cast("long")
     # the tag tells rows apart that share an identifier
     rows = docs.select(own_id.alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(own_id, F.lit(LAST)).alias("doc"), F.shiftrightunsigned(F.xxhash64(text_col), 64 - TAG_BITS).alias("tag"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(MIN_BITS, int(size * BITS_PER_BYTE)), max_bits)
-    log_width = (bits - 1).bit_length() - DEPTH.bit_length() + 1
-    twice = _repeated(rows, width, log_width)
-    scratch.release()  # the sketches' shuffle
-    marks = scratch.table(_marks(rows, width, log_width, twice), "marks")
-    twice.unpersist()
-    scratch.release()  # the candidates' shuffle
+    found = scratch.table(candidates(rows.select("doc", "tag", "text"), width, part_bytes, owned), "candidates")
+    marks = scratch.table(_marks(found), "marks")
+    scratch.drop("candidates")
     return rows.join(marks, ["doc", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_text string")
 
 

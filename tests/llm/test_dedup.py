@@ -116,15 +116,33 @@ def test_substring_against_brute_force(spark, odd_texts):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == brute_substring(list(enumerate(texts)))
 
 
-def test_substring_with_a_full_sketch(spark):
-    """A sketch in which every cell counts two only lets more windows through."""
+def test_substring_over_many_parts_and_slices(spark):
     texts = family(random.Random(3), 90)
     want = brute_substring(list(enumerate(texts)))
-    for bits in (1 << 20, 1 << 22):
-        got = substring_dedup.substring_dedup(make(spark, texts), max_bits=bits)
+    for part_bytes, owned in ((200, 1 << 24), (5000, 8)):
+        got = substring_dedup.substring_dedup(make(spark, texts), part_bytes=part_bytes, owned=owned)
         assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()), key=repr) == want
 
 
+def test_sketch_lets_as_few_windows_through_at_any_size(spark):
+    """Windows that occur once: the share that passes does not grow with the input."""
+    share = []
+    for n in (40, 640):
+        rng = random.Random(n)
+        rows = spark.createDataFrame([(i, 0, prose(rng, 300, 10**9)) for i in range(n)], "doc long, tag long, text string")
+        share.append(substring_dedup.candidates(rows, part_bytes=20_000).count() / (n * 281))
+    assert max(share) < 0.03
+
+
+def test_gaps_round_trip():
+    rng = np.random.default_rng(2)
+    gap = np.concatenate([rng.integers(1 << b, size=50, dtype=np.uint64) for b in (1, 7, 8, 14, 20, 40, 62)])
+    rng.shuffle(gap)
+    bounds = np.array([0, 0, 3, 200, 200, len(gap)])
+    got, n = substring_dedup.unpack_gaps(substring_dedup.pack_gaps(gap, bounds))
+    assert (got == gap).all() and n.tolist() == np.diff(bounds).tolist()
+
+
 def test_substring_with_shared_identifiers(spark):
     w = [f"u{i}" for i in range(25)]
     a, b = " ".join(w), " ".join(["x", *w])
