@@ -2,9 +2,11 @@
 
 A document's pre-tokens are put in leaves of ``LEAF``; a segment tree over the leaves keeps sums of characters and of tokens. An edit finds its
 leaf by descending the character sums, and re-encodes from the start of the leaf that holds the context to the left of the edit. The
-pre-token pattern looks at nothing before a pre-token and at most one character behind it, so everything that ends two characters
+pre-token pattern looks at nothing before a pre-token and at less than ``AHEAD`` characters behind it, so everything that ends two characters
 before the edit stands; and as soon as a new pre-token ends behind the edit where a leaf of the old text began, all that follows stands too.
-The re-encoded leaves replace the old ones, and the sums above them are updated.
+The re-encoded pre-tokens take the places of the old leaves, and the sums above them are updated. Leaves hold their own text, so an edit
+touches a few leaves and the sums above them, whatever the length of the text; leaves that have grown beyond ``FULL`` pre-tokens are split by
+laying out the tree anew, which so many insertions pay for.
 
 The token count of a pre-token is that of its byte-pair encoding; counts of pre-tokens seen are kept in a bounded cache. Trees can be
 stored (``token_trees``) and edits applied to them later (``apply_edits``), or both be done in one pass (``edited_counts``). Documents
@@ -19,9 +21,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
+import re
 from collections.abc import Callable, Iterable, Iterator
+from operator import add
 
-import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -34,7 +38,8 @@ from .common import documents, slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-LEAF = 64
+LEAF = 16
+FULL, AHEAD = 4, 4  # leaves, characters
 CACHE = 300_000
 Edit = tuple[int, int, str]  # start, length, replacement
 
@@ -52,7 +57,7 @@ class Counter:
     def counts(self, pieces: list[str]) -> list[int]:
         known = self.known
         try:
-            return [known[p] for p in pieces]
+            return list(map(known.__getitem__, pieces))
         except KeyError:
             pass
         if len(known) > CACHE:
@@ -70,101 +75,147 @@ def counter(vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Counter:
 
 
 class Tree:
-    """Sums of (characters, tokens) over leaves, as a heap: node i has the children 2i and 2i + 1."""
+    """Sums of characters and of tokens over leaves, as a heap: node i has the children 2i and 2i + 1."""
 
     def __init__(self, chars: Iterable[int], tokens: Iterable[int]):
         chars, tokens = list(chars), list(tokens)
-        self.base = 1 << max(0, len(chars) - 1).bit_length()
         self.leaves = len(chars)
-        self.sums = np.zeros((2 * self.base, 2), np.int64)
-        if chars:
-            self.sums[self.base : self.base + len(chars)] = np.column_stack([chars, tokens])
-        at = self.base
-        while at > 1:
-            half = at // 2
-            self.sums[half:at] = self.sums[at : 2 * at : 2] + self.sums[at + 1 : 2 * at : 2]
-            at = half
+        self.base = 1 << max(0, self.leaves - 1).bit_length()
+        self.chars, self.tokens_ = self._sums(chars), self._sums(tokens)
+
+    def _sums(self, own: list[int]) -> list[int]:
+        levels = [own + [0] * (self.base - len(own))]
+        while len(levels[-1]) > 1:
+            low = levels[-1]
+            levels.append([*map(add, low[::2], low[1::2])])
+        return [0, *itertools.chain.from_iterable(reversed(levels))]
 
     @property
     def tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return self.tokens_[1]
 
     def leaf_of(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character at ``place`` (the last one beyond the end), and the leaf's start."""
+        chars, base = self.chars, self.base
         at, start = 1, 0
-        place = min(place, int(self.sums[1, 0]) - 1)
-        while at < self.base:
+        place = min(place, chars[1] - 1)
+        while at < base:
             at *= 2
-            if place >= start + self.sums[at, 0]:
-                start += int(self.sums[at, 0])
+            if place >= start + chars[at]:
+                start += chars[at]
                 at += 1
-        return at - self.base, start
+        return at - base, start
 
     def put(self, leaf: int, chars: int, tokens: int) -> None:
         at = self.base + leaf
-        change = np.array([chars, tokens]) - self.sums[at]
-        while at:
-            self.sums[at] += change
-            at //= 2
+        c, t = chars - self.chars[at], tokens - self.tokens_[at]
+        if c or t:
+            while at:
+                self.chars[at] += c
+                self.tokens_[at] += t
+                at //= 2
 
     def lists(self) -> tuple[list[int], list[int]]:
-        part = self.sums[self.base : self.base + self.leaves]
-        part = part[part[:, 0] > 0]
-        return part[:, 0].tolist(), part[:, 1].tolist()
+        own = slice(self.base, self.base + self.leaves)
+        both = [(c, t) for c, t in zip(self.chars[own], self.tokens_[own], strict=True) if c]
+        return [c for c, _ in both], [t for _, t in both]
 
 
 class Counted:
-    """A text with its tree."""
+    """A text with its tree: the texts of the leaves, in order."""
 
     def __init__(self, text: str, counter_: Counter, leaves: tuple[list[int], list[int]] | None = None):
-        self.text, self.counter = text, counter_
+        self.counter = counter_
         self.pieces = self.encoded = 0
         if leaves is None:
             pieces = counter_.pattern.findall(text)
             self.pieces = len(pieces)
-            leaves = self._leaves(pieces)
+            leaves = self._leaves(pieces, LEAF)
+        ends = [0, *itertools.accumulate(leaves[0])]
+        self.parts = [text[i:j] for i, j in itertools.pairwise(ends)]
         self.tree = Tree(*leaves)
 
-    def _leaves(self, pieces: list[str]) -> tuple[list[int], list[int]]:
-        if not pieces:
-            return [], []
-        at = np.arange(0, len(pieces), LEAF)
-        return np.add.reduceat([*map(len, pieces)], at).tolist(), np.add.reduceat(self.counter.counts(pieces), at).tolist()
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+    def _leaves(self, pieces: list[str], size: int) -> tuple[list[int], list[int]]:
+        """Characters and tokens of leaves of so many pieces."""
+        if len(pieces) <= size:
+            return ([sum(map(len, pieces))], [sum(self.counter.counts(pieces))]) if pieces else ([], [])
+        chars, tokens = [*map(len, pieces)], self.counter.counts(pieces)
+        at = range(0, len(pieces), size)
+        return [sum(chars[i : i + size]) for i in at], [sum(tokens[i : i + size]) for i in at]
+
+    def _laid_out(self, first: int, last: int, pieces: list[str]) -> None:
+        """The tree anew, with pieces in the place of the leaves from first to last; all leaves of at most ``LEAF``."""
+        own = slice(self.tree.base, self.tree.base + self.tree.leaves)
+        chars, tokens = self._leaves(pieces, LEAF)
+        old_chars, old_tokens = self.tree.chars[own], self.tree.tokens_[own]
+        ends = [0, *itertools.accumulate(chars)]
+        text = "".join(pieces)
+        parts = self.parts[:first] + [text[i:j] for i, j in itertools.pairwise(ends)] + self.parts[last + 1 :]
+        chars, tokens = old_chars[:first] + chars + old_chars[last + 1 :], old_tokens[:first] + tokens + old_tokens[last + 1 :]
+        keep = [i for i, c in enumerate(chars) if c]
+        self.parts = [parts[i] for i in keep]
+        self.tree = Tree([chars[i] for i in keep], [tokens[i] for i in keep])
 
     def edit(self, start: int, length: int, new: str) -> None:
-        old = self.text
-        start = max(0, min(start, len(old)))
-        end = min(len(old), start + max(0, length))
-        self.text = old[:start] + new + old[end:]
-        if not old or not self.text:
-            pieces = self.counter.pattern.findall(self.text)
+        tree, parts = self.tree, self.parts
+        total = tree.chars[1] if parts else 0
+        start = max(0, min(start, total))
+        end = min(total, start + max(0, length))
+        if not total or not new and end - start == total:
+            pieces = self.counter.pattern.findall(new)
             self.encoded += len(pieces)
-            self.tree = Tree(*self._leaves(pieces))
+            self._laid_out(0, len(parts) - 1, pieces)
             return
-        delta = len(new) - (end - start)
-        tree = self.tree
         first, left = tree.leaf_of(max(0, start - 2))
-        # the next leaf of the old text that starts behind the edit
-        last, right = first, left + int(tree.sums[tree.base + first, 0])
-        pieces, at = [], left
-        for m in self.counter.pattern.finditer(self.text, left):
-            pieces.append(m.group())
-            at = m.end() - delta
-            while right < max(at, end) and last + 1 < tree.leaves:
-                last += 1
-                right += int(tree.sums[tree.base + last, 0])
-            if at >= end and at == right:
+        stop, right, more = first, left + len(parts[first]), 1
+        while True:
+            # leaves up to the edit's end, and some behind it
+            starts = []  # of leaves behind the edit: place in the edited text, leaf
+            while stop + 1 < len(parts) and (right < end or more):
+                more -= right >= end and bool(parts[stop + 1])
+                stop += 1
+                right += len(parts[stop])
+            region = "".join(parts[first : stop + 1])
+            text = region[: start - left] + new + region[end - left :]
+            delta, at = len(text) - len(region), left
+            for i in range(first, stop + 1):
+                if i > first and at >= end and parts[i]:
+                    starts.append((at - left + delta, i))
+                at += len(parts[i])
+            whole = stop + 1 == len(parts) or right == total
+            pieces, at, last, limit = [], 0, None, len(text) if whole else len(text) - AHEAD
+            waiting = iter(starts)
+            place, leaf = next(waiting, (len(text) + 1, stop + 1))
+            for m in self.counter.pattern.finditer(text):
+                pieces.append(m.group())
+                at = m.end()
+                while place < at:
+                    place, leaf = next(waiting, (len(text) + 1, stop + 1))
+                if place == at <= limit:
+                    last = leaf - 1
+                    break
+            self.encoded += len(pieces)
+            if last is None and whole:
+                last = stop
+            if last is not None:
                 break
-        self.encoded += len(pieces)
-        chars, tokens = self._leaves(pieces)
+            more = stop - first + 1
         room = last - first + 1
-        if len(chars) > room:  # more leaves than there were: the tree is laid out anew from its leaves
-            own = tree.sums[tree.base : tree.base + tree.leaves].tolist()
-            own[first : last + 1] = [list(x) for x in zip(chars, tokens, strict=True)]
-            self.tree = Tree([c for c, _ in own], [t for _, t in own])
+        size = max(LEAF, -(-len(pieces) // room))
+        if size > FULL * LEAF:
+            self._laid_out(first, last, pieces)
             return
+        chars, tokens = self._leaves(pieces, size)
+        done = 0
         for i in range(room):
-            tree.put(first + i, *((chars[i], tokens[i]) if i < len(chars) else (0, 0)))
+            c, t = (chars[i], tokens[i]) if i < len(chars) else (0, 0)
+            parts[first + i] = text[done : done + c]
+            done += c
+            tree.put(first + i, c, t)
 
 
 def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -211,7 +262,7 @@ PRIVATE = r"[0-9A-Fa-f]{16,}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[^\s@]+@[^\s@]+\.[^\s
 
 def redactions(text: str) -> list[Edit]:
     """Private strings become ``<redacted>``, from the last to the first, and a text ends in a line break."""
-    out = [(m.start(), m.end() - m.start(), "<redacted>") for m in _private().finditer(text)][::-1]
+    out = [(m.start(), m.end() - m.start(), "<redacted>") for at, to in _suspects(text) for m in _private().finditer(text, at, to)][::-1]
     return out + [(len(text) + sum(len(n) - k for _, k, n in out), 0, "\n")] if text and not text.endswith("\n") else out
 
 
@@ -220,6 +271,20 @@ def _private():
     return regex.compile(PRIVATE)
 
 
+#: What has none of these has nothing private: matches lie within a word, and are long hexadecimals or have a digit or @.
+_SUSPECT, _BLANK = re.compile(r"[0-9@]|[A-Fa-f]{16}"), regex.compile(r"\s")
+_BLANK_BEFORE = regex.compile(r"(?r)\s")
+
+
+def _suspects(text: str) -> Iterator[tuple[int, int]]:
+    """Words that may have something private."""
+    to = 0
+    while m := _SUSPECT.search(text, to):
+        before, behind = _BLANK_BEFORE.search(text, to, m.start()), _BLANK.search(text, m.end())
+        at, to = before.end() if before else to, behind.start() if behind else len(text)
+        yield at, to
+
+
 COUNTS = "doc_id long, n_pretokens long, n_tokens long, n_edits long, n_tokens_after long, n_reencoded long"
 
 
