@@ -6,12 +6,15 @@ has, n / (N + D), plus an escape, D / (N + D), for each longer context that has
 the context; method C without exclusion), down to 8 bits for a byte never seen. The language of the least code length is
 predicted; the score is its share of 2^-length over all languages.
 
-The trees are flattened into tables from context and symbol to the code lengths under all languages, so a text is scored by table look-ups
-over whole slices. They are learned from at most ``PER_LANGUAGE`` documents a language, those of the least hashes (whole texts), which
-also bounds what is broadcast; their counts are summed by Spark.
+The trees are flattened into tables from context and symbol to the code lengths under ``BLOCK`` languages at a time, so a text is scored by table
+look-ups over whole slices. They are learned from at most ``PER_LANGUAGE`` documents a language, those of the least hashes (whole texts, as long as those before
+have not filled the language's share of ``SAMPLE_BYTES``); their counts are summed by Spark. If the tables would take more than ``MODEL_BYTES``, which is what
+is broadcast at most, symbols seen least often in the longest contexts are left out of the trees. So neither driver nor broadcast grows with
+the rows or with the number of languages.
 
 Defined cases: null text and text without a letter are ``und`` with score 0, as is everything if no labelled text is there; ties go to the
-first language in order; null languages are not learned; repeated rows are scored each; other columns are not read.
+first language in order; null languages are not learned; rows that share an identifier are learned together if they are chosen, and repeated rows
+are scored each; very long texts are scored whole, a slice of its own each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ from .common import documents, slices
 
 ORDER = 3
 PER_LANGUAGE = 400
+SAMPLE_BYTES = 32 << 20
+MODEL_BYTES = 256 << 20
+BLOCK = 8
 SCORED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -138,6 +144,47 @@ class Trees:
         return out
 
 
+class Forest:
+    """The trees of all languages, block by block."""
+
+    def __init__(self, counts: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]], block: int = BLOCK):
+        self.langs = sorted({x for _, x in counts})
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.blocks = []
+        for i in range(0, len(self.langs), block):
+            own = self.langs[i : i + block]
+            self.blocks.append(Trees(own, {(o, x): counts.get((o, x), none) for o in range(ORDER + 1) for x in own}))
+
+    def bits(self, gram: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(languages, texts): code lengths of the texts whose grams start there."""
+        return np.concatenate([np.add.reduceat(trees.lengths(gram), starts, axis=1, dtype=np.float64) for trees in self.blocks])
+
+
+def _bytes(counts: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]], block: int) -> int:
+    """What the tables of the trees take at most: a cost and 24 bytes of look-up a symbol, the same a context."""
+    langs = sorted({x for _, x in counts})
+    total = 0
+    for i in range(0, len(langs), block):
+        own = langs[i : i + block]
+        for o in range(ORDER + 1):
+            keys = np.unique(np.concatenate([counts[o, x][0] for x in own if (o, x) in counts] or [np.zeros(0, np.int64)]))
+            total += (4 * len(own) + 32) * (len(keys) + len(np.unique(keys >> 8)))
+    return total
+
+
+def pruned(counts: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]], limit: int, block: int = BLOCK) -> dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]:
+    """Counts whose tables take at most ``limit`` bytes: of the highest order first, what was seen least often goes."""
+    counts, order, least = dict(counts), ORDER, 1
+    while order and _bytes(counts, block) > limit:
+        for (o, x), (key, n) in list(counts.items()):
+            if o == order:
+                counts[o, x] = key[n > least], n[n > least]
+        if not any(len(key) for (o, _), (key, _) in counts.items() if o == order):
+            order, least = order - 1, 0
+        least = 2 * least or 1
+    return counts
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model.value
@@ -148,7 +195,7 @@ def _score(model):
                 bits = np.zeros((len(trees.langs), part.num_rows))
                 full = np.flatnonzero(np.diff(offsets))
                 if len(full):
-                    bits[:, full] = np.add.reduceat(trees.lengths(grams[ORDER]), offsets[:-1][full], axis=1, dtype=np.float64)
+                    bits[:, full] = trees.bits(grams[ORDER], offsets[:-1][full])
                 best = bits.argmin(axis=0)
                 score = 1 / np.exp2(np.minimum(0, bits.min(axis=0) - bits)).sum(axis=0)
                 told = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False)
@@ -158,18 +205,20 @@ def _score(model):
     return run
 
 
-def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Trees | None:
+def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES, model_bytes: int = MODEL_BYTES) -> Forest | None:
     """Trees from (doc_id, text, lang): counts by language, order and gram, summed by Spark."""
+    known = labelled.filter("lang is not null and text is not null")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    chosen = labelled.filter("lang is not null and text is not null").select("lang", "doc_id").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= per_language)
-    sample = labelled.join(F.broadcast(chosen.select("lang", "doc_id").distinct()), ["lang", "doc_id"]).select("lang", "text")
+    chosen = known.select("lang", "doc_id").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= per_language)
+    sample = known.join(F.broadcast(chosen.select("lang", "doc_id").distinct()), ["lang", "doc_id"]).select("lang", "doc_id", "text")
+    share = sample_bytes // max(8, known.agg(F.approx_count_distinct("lang")).first()[0])
+    before = F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1))  # over the rows chosen
+    sample = sample.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < share).select("lang", "text")
     counts = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(_count, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return None
-    langs = sorted(counts["lang"].unique())
     by = {k: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for k, g in counts.groupby(["order", "lang"])}
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return Trees(langs, {(o, x): by.get((o, x), none) for o in range(ORDER + 1) for x in langs})
+    return Forest(pruned(by, model_bytes))
 
 
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
