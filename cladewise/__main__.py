@@ -37,7 +37,12 @@ def main(args: list[str] | None = None) -> None:
     classify = [db, ("--mode", {"default": "auto", "choices": ["auto", "shuffle", "broadcast"]}), ("--out", {"required": True}), ("--paired", {"action": "store_true"}), ("--confidence", {"type": float, "default": 0.0}), ("--min-hit-groups", {"type": int, "default": 2}), ("--min-quality", {"type": int, "default": 0}), ("--kmer-data", {"action": "store_true"}), ("--zero-counts", {"action": "store_true"}), ("inputs", {"nargs": "+"})]
     command("merge-fna", ("--manifest", {"nargs": "+", "required": True}), ("--site", {"required": True}), ("--directory", {"required": True}), ("--out", {"required": True}))
     command("add-library", ("--directory", {"required": True}), ("inputs", {"nargs": "+"}))
-    command("estimate", ("--load-factor", {"type": float, "default": 0.7}), ("--max-n", {"type": int, "default": 4}), ("inputs", {"nargs": "+"}), scheme=True)
+    steps = [db, ("--chunk-dir", {"required": True})]
+    command("splitr", *steps, ("--paired", {"action": "store_true"}), ("--min-quality", {"type": int, "default": 0}), ("inputs", {"nargs": "+"}))
+    command("annotate", *steps, ("--mode", {"default": "auto", "choices": ["auto", "shuffle", "broadcast"]}))
+    command("resolve", *steps, ("--out", {"required": True}), ("--confidence", {"type": float, "default": 0.0}), ("--min-hit-groups", {"type": int, "default": 2}), ("--only-hit-reads", {"action": "store_true"}), ("--kmer-data", {"action": "store_true"}), ("--zero-counts", {"action": "store_true"}))
+    command("build-db", db, ("--nodes", {"required": True}), ("--names", {"required": True}), ("--map", {}), ("-c --required-capacity", {"type": int}), ("--hash-capacity", {"type": parse_size, "default": parse_size("1G")}), ("--load-factor", {"type": float, "default": 0.7}), ("inputs", {"nargs": "+"}), scheme=True)
+    command("estimate", ("--cache", {}), ("--load-factor", {"type": float, "default": 0.7}), ("--max-n", {"type": int, "default": 4}), ("inputs", {"nargs": "+"}), scheme=True)
     command("build", db, ("--nodes", {"required": True}), ("--names", {"required": True}), ("--map", {}), ("--buckets", {"type": int, "default": 0}), ("inputs", {"nargs": "+"}), scheme=True)
     command("classify", *classify)
     command("direct", *classify)
@@ -54,7 +59,7 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "add-library":
         api.add_library(spark, a.inputs, a.directory).show(truncate=False)
     elif a.command == "estimate":
-        row = api.estimate(fastx.read_fasta(spark, a.inputs, recursive=True), _scheme(a), a.max_n, a.load_factor).first()
+        row = api.estimate_files(spark, a.inputs, _scheme(a), a.max_n, a.load_factor, a.cache).first()
         print(f"estimated distinct minimizers {row.estimate}, capacity {row.capacity}, index {format_bytes(row.index_bytes)}")
     elif a.command == "build":
         genomes = fastx.library_sequences(fastx.read_fasta(spark, a.inputs, recursive=True))
@@ -64,6 +69,15 @@ def main(args: list[str] | None = None) -> None:
         mode = "broadcast" if a.command == "direct" else a.mode
         found = api.classify(api.Database.load(spark, a.db), api.read_samples(spark, a.inputs, a.paired), mode, a.confidence, a.min_hit_groups, a.min_quality)
         api.write_results(found, a.out, a.kmer_data, a.zero_counts)
+    elif a.command == "build-db":
+        known = taxonomy_files.read_id_map(spark, a.map) if a.map else None
+        print(api.build_db(spark, a.inputs, taxonomy_files.read_nodes_with_names(spark, a.nodes, a.names), _scheme(a), a.db, a.required_capacity, a.hash_capacity, a.load_factor, known))
+    elif a.command == "splitr":
+        api.splitr(api.Database.load(spark, a.db), a.inputs, a.chunk_dir, a.paired, a.min_quality)
+    elif a.command == "annotate":
+        api.annotate(api.Database.load(spark, a.db), a.chunk_dir, a.mode)
+    elif a.command == "resolve":
+        api.resolve_steps(api.Database.load(spark, a.db), a.chunk_dir, a.out, a.confidence, a.min_hit_groups, a.only_hit_reads, a.kmer_data, a.zero_counts)
     elif a.command == "export":
         print(api.export_k2d(api.Database.load(spark, a.db), a.out, a.hash_capacity))
     elif a.command == "hashshard":

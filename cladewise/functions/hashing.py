@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from contextlib import contextmanager
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Multipliers and additive constant of the two hash functions.
@@ -82,6 +83,48 @@ def murmur_hash3(x: Column) -> Column:
     return fmix64(wrapping_add(wrapping_multiply(rotate_left(block, 27), 5), MURMUR_ADD).bitwiseXOR(_long(8)))
 
 
+@contextmanager
+def _wrapping(spark: SparkSession):
+    """Arithmetic of plans analysed inside wraps around; a plan keeps the arithmetic it was analysed with."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def _steps(df: DataFrame, x: Column, name: str, steps: list) -> DataFrame:
+    """Column ``name`` from x by one projection a step, so each is computed once and all in one generated stage."""
+    with _wrapping(df.sparkSession):
+        df = df.withColumn(name, x)
+        for step in steps:
+            df = df.withColumn(name, step(F.col(name)))
+    return df
+
+
+_FMIX_STEPS = [
+    lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 33)) * _long(FMIX_1),
+    lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 33)) * _long(FMIX_2),
+    lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 33)),
+]
+_MURMUR_STEPS = [
+    lambda v: v * _long(MURMUR_1),
+    lambda v: F.shiftleft(v, 31).bitwiseOR(F.shiftrightunsigned(v, 33)) * _long(MURMUR_2),
+    lambda v: (F.shiftleft(v, 27).bitwiseOR(F.shiftrightunsigned(v, 37)) * 5 + _long(MURMUR_ADD)).bitwiseXOR(_long(8)),
+]
+
+
+def with_fmix64(df: DataFrame, x: Column, name: str = "hash") -> DataFrame:
+    """Adds ``fmix64`` of x; the expression of that name is the specification, and slower."""
+    return _steps(df, x, name, _FMIX_STEPS)
+
+
+def with_murmur_hash3(df: DataFrame, x: Column, name: str = "hash") -> DataFrame:
+    """Adds ``murmur_hash3`` of x; the expression of that name is the specification, and slower."""
+    return _steps(df, x, name, _MURMUR_STEPS + _FMIX_STEPS)
+
+
 def unsigned_mod(x: Column, by: Column) -> Column:
     """x as an unsigned number modulo ``by`` (below 2^62)."""
     return bound(x, lambda v: (F.shiftrightunsigned(v, 1) % by * 2 + v.bitwiseAND(_long(1))) % by)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
@@ -14,3 +16,17 @@ def dealt(df: DataFrame) -> DataFrame:
         return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A small result that several parts of a plan use, computed once and written to the folder of ``spark.checkpoint.dir``.
+
+    Where none is set and all runs on one machine (as in tests), to a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="scratch-"))
+    return df.checkpoint()

@@ -12,8 +12,11 @@ from .taxonomy import lca_by
 SAMPLE_RANGE = 1023
 SAMPLE_DIVISOR = 1024
 RESERVE = 8192
-#: An index of at most so many bytes (as Spark estimates it) is broadcast when no mode is asked for.
+#: An index of at most so many bytes is broadcast when no mode is asked for; an entry takes so many in a broadcast hash table.
 BROADCAST_BYTES = 256 << 20
+ENTRY_BYTES = 48
+#: Spark broadcasts tables of fewer rows than 512 million.
+MOST_ENTRIES = 341_000_000
 
 
 def genome_taxids(genomes: DataFrame, seqid_map: DataFrame) -> DataFrame:
@@ -54,25 +57,52 @@ def minhash_sample(found: DataFrame, max_n: int) -> DataFrame:
     return found.filter(F.col("hash").bitwiseAND(F.lit(SAMPLE_RANGE).cast("long")) < max_n)
 
 
+def capacity_of(estimate: Column, load_factor: float) -> Column:
+    """Cells for so many distinct minimizers."""
+    if not 0 < load_factor <= 1:
+        raise ValueError("the load factor must be above 0 and at most 1")
+    return F.ceil((estimate + RESERVE) / F.lit(load_factor).cast("double")).cast("long")
+
+
+def _estimate(distinct: Column, max_n: int) -> Column:
+    return F.round(distinct.cast("double") * SAMPLE_DIVISOR / max_n).cast("long")
+
+
 def estimate_capacity(found: DataFrame, max_n: int = 4, load_factor: float = 0.7, exact: bool = True) -> DataFrame:
     """One row: estimate (distinct minimizers, from the sample) and capacity in cells."""
     sample = minhash_sample(found, max_n)
     distinct = F.count_distinct("hash") if exact else F.hll_sketch_estimate(F.hll_sketch_agg("hash", F.lit(16)))
-    estimate = F.round(distinct.cast("double") * SAMPLE_DIVISOR / max_n).cast("long")
-    return sample.agg(estimate.alias("estimate")).withColumn("capacity", F.ceil((F.col("estimate") + RESERVE) / F.lit(load_factor).cast("double")).cast("long"))
+    return sample.agg(_estimate(distinct, max_n).alias("estimate")).withColumn("capacity", capacity_of(F.col("estimate"), load_factor))
+
+
+def file_sketches(found: DataFrame, max_n: int = 4) -> DataFrame:
+    """file, sketch: a mergeable sketch of each file's sampled minimizers."""
+    return minhash_sample(found, max_n).groupBy("file").agg(F.hll_sketch_agg("hash", F.lit(16)).alias("sketch"))
+
+
+def capacity_of_sketches(sketches: DataFrame, max_n: int = 4, load_factor: float = 0.7) -> DataFrame:
+    """``estimate_capacity`` of all files, from their sketches."""
+    distinct = F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0))
+    return sketches.agg(_estimate(distinct, max_n).alias("estimate")).withColumn("capacity", capacity_of(F.col("estimate"), load_factor))
 
 
 def index_bytes(capacity: Column) -> Column:
     return capacity * 4
 
 
-def annotate(kmers: DataFrame, index: DataFrame, mode: str = "auto") -> DataFrame:
+def annotate(kmers: DataFrame, index: DataFrame, mode: str = "auto", entries: int | None = None) -> DataFrame:
     """Minimizers with the taxid of their index entry; those without one are left out.
 
-    broadcast: the whole index at every executor, no shuffle. shuffle: both sides dealt by hash (no shuffle of an index that was
-    written in buckets of the hash). auto: broadcast if Spark's estimate of the index is small, else Spark's choice at run time.
+    broadcast: the whole index at every executor, no shuffle; refused beyond ``MOST_ENTRIES``. shuffle: both sides dealt by hash (no shuffle of an
+    index that was written in buckets of the hash). auto: broadcast if the index is known to be small by its ``entries`` (a saved
+    database knows them), or by Spark's estimate of a plan that is no larger, else Spark's choice at run time.
     """
-    if mode == "broadcast" or mode == "auto" and estimated_bytes(index) <= BROADCAST_BYTES:
+    if mode == "broadcast":
+        if entries is not None and entries > MOST_ENTRIES:
+            raise ValueError(f"an index of {entries} entries is too large to broadcast; use shuffle")
+        return kmers.join(F.broadcast(index), "hash")
+    size = entries * ENTRY_BYTES if entries is not None else estimated_bytes(index)
+    if mode == "auto" and size <= BROADCAST_BYTES:
         return kmers.join(F.broadcast(index), "hash")
     return kmers.join(index.hint("shuffle_hash") if mode == "shuffle" else index, "hash")
 

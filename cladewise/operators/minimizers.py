@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +57,7 @@ def minimizers_sql(reads: DataFrame, scheme: Scheme, keys: list[str], seq: str =
     lmers = rows.select(*keys, "s", F.explode(F.sequence(F.lit(1), F.length("s") - l + 1)).alias("pos")).withColumn("w", F.substr("s", F.col("pos"), F.lit(l)))
     number = lambda text: F.conv(F.translate(text, "ACGT", "0123"), 4, 10).cast("long")
     forward, backward = number(F.col("w")), number(F.reverse(F.translate("w", "ACGT", "TGCA")))
-    valid = F.col("w").rlike("^[ACGT]+$")
+    valid = F.col("w").rlike(r"^[ACGT]+\z")
     order = F.when(valid, F.least(forward, backward).bitwiseAND(F.lit(scheme.mask)).bitwiseXOR(F.lit(scheme.flip)))
     w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(0, k - l)
     # a k-mer of whose l-mers one is not valid has no minimizer
@@ -110,9 +109,10 @@ def scan(letters: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minimizers(reads: DataFrame, scheme: Scheme, keys: list[str], seq: str = "seq", offset: str | None = None) -> DataFrame:
-    """keys, pos, hash by the Arrow kernel: reads are scanned as one buffer, separated by a letter that is not valid.
+    """keys, pos, hash by the Arrow kernel: reads are scanned as one buffer, k-mers over the border of two are left out.
 
-    ``offset``: column added to positions (for second mates).
+    A slice has about ``SLICE_LETTERS``; a longer sequence is scanned in pieces that overlap by k - 1 letters, so memory beside the sequence itself is
+    that of a piece. ``offset``: column added to positions (for second mates).
     """
     fields = [f for f in reads.schema if f.name in keys]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", pos int, hash long"
@@ -120,27 +120,38 @@ def minimizers(reads: DataFrame, scheme: Scheme, keys: list[str], seq: str = "se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_seq")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_LETTERS, side="right")))
-                part = batch.slice(at, to - at)
-                at = to
-                joined = b"\n".join((s or "").encode() for s in part.column("_seq").to_pylist()) + b"\n"
-                letters = np.frombuffer(joined, np.uint8)
-                ends = np.flatnonzero(letters == 10)
-                start, h = scan(letters, scheme)
-                row = np.searchsorted(ends, start)
-                first = np.concatenate([[0], ends[:-1] + 1])
-                place = start - first[row] + 1
+            seq = batch.column("_seq").cast(pa.large_string())
+            ends = np.frombuffer(seq.buffers()[1], np.int64)[seq.offset : seq.offset + len(seq) + 1]
+            data = np.frombuffer(seq.buffers()[2] or b"", np.uint8)
+            offsets = batch.column("_offset").to_numpy(zero_copy_only=False).astype(np.int64) if offset else None
+            for at, to in letter_slices(ends, scheme.k):
+                start, h = scan(data[at:to], scheme)
+                start = start + at
+                row = np.searchsorted(ends, start, side="right") - 1
+                own = start + scheme.k <= ends[row + 1]
+                start, h, row = start[own], h[own], row[own]
+                place = start - ends[row] + 1
                 if offset:
-                    place = place + part.column("_offset").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-                yield pa.record_batch([*(part.column(c).take(pa.array(row)) for c in names), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], names=[*names, "pos", "hash"])
+                    place = place + offsets[row]
+                yield pa.record_batch([*(batch.column(c).take(pa.array(row)) for c in names), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], names=[*names, "pos", "hash"])
 
-    rows = reads.select(*names, F.regexp_replace(seq, "\n", "N").alias("_seq"), *([F.coalesce(offset, F.lit(0)).alias("_offset")] if offset else []))
+    rows = reads.select(*names, F.coalesce(F.col(seq), F.lit("")).alias("_seq"), *([F.coalesce(offset, F.lit(0)).alias("_offset")] if offset else []))
     return dealt(rows).mapInArrow(run, schema)
 
 
+def letter_slices(ends: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
+    """Ranges of letters of about ``SLICE_LETTERS``: whole sequences, or pieces of a longer one that overlap by k - 1."""
+    at, n = 0, len(ends) - 1
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_LETTERS, side="right")) - 1))
+        first, last = int(ends[at]), int(ends[to])
+        while last - first > SLICE_LETTERS + k:
+            yield first, first + SLICE_LETTERS
+            first += SLICE_LETTERS - (k - 1)
+        yield first, last
+        at = to
+
+
 def runs(found: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each run of equal minimizers at consecutive positions: keys, pos of the first, hash, length."""
     w = Window.partitionBy(*keys).orderBy("pos")

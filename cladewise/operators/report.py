@@ -26,10 +26,20 @@ def taxon_counters(calls: DataFrame, hits: DataFrame, keys: list[str] = (), appr
     return both.select(*keys, "taxid", F.coalesce("reads", F.lit(0)).alias("reads"), F.coalesce("kmers", F.lit(0)).alias("kmers"), *(["sketch", F.coalesce(last, F.lit(0)).alias("distinct")] if approximate else [last]))
 
 
+def call_counts(calls: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """keys, call, reads: the one table, of a row a call, that all of a report's counts follow from."""
+    return calls.groupBy(*keys, "call").agg(F.count("*").alias("reads"))
+
+
+def _weight(calls: DataFrame) -> Column:
+    """Reads that a row stands for: calls are read by read, or counted by ``call_counts``."""
+    return F.col("reads") if "reads" in calls.columns else F.lit(1)
+
+
 def clade_counts(calls: DataFrame, tree: DataFrame, keys: list[str] = ()) -> DataFrame:
     """keys, taxid, clade_reads, taxon_reads of every node that has a called read in its clade."""
     keys = list(keys)
-    direct = calls.filter("call > 0").groupBy(*keys, F.col("call").alias("of")).agg(F.count("*").alias("reads"))
+    direct = calls.filter("call > 0").groupBy(*keys, F.col("call").alias("of")).agg(F.sum(_weight(calls)).alias("reads"))
     up = direct.join(tree.select(F.col("taxid").alias("of"), "path"), "of").select(*keys, "of", "reads", F.explode("path").alias("taxid"))
     return up.groupBy(*keys, "taxid").agg(F.sum("reads").alias("clade_reads"), F.sum(F.when(F.col("of") == F.col("taxid"), F.col("reads")).otherwise(0)).alias("taxon_reads"))
 
@@ -49,7 +59,9 @@ def clade_counters(calls: DataFrame, hits: DataFrame, tree: DataFrame, keys: lis
 
 
 def totals(calls: DataFrame, keys: list[str] = ()) -> DataFrame:
-    return calls.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("call") > 0).alias("classified"), F.count_if(F.col("call") <= 0).alias("unclassified"))
+    reads, zero = _weight(calls), F.lit(0).cast("long")
+    part = lambda chosen: F.coalesce(F.sum(F.when(chosen, reads)), zero)
+    return calls.groupBy(*keys).agg(F.coalesce(F.sum(reads), zero).alias("total"), part(F.col("call") > 0).alias("classified"), part(F.col("call") <= 0).alias("unclassified"))
 
 
 def sample_rollup(calls: DataFrame, sample: str) -> DataFrame:

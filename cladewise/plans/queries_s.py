@@ -95,6 +95,13 @@ def distinct_kmers_hll(spark, sf_dir):
     return parts.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
 
 
+@query(f"with {READS_SQL}, {kmers_sql('k', 'reads', PLAIN)} select cast(count(distinct m) as bigint) as \"exact\", true as within from k")
+def distinct_kmers_hll_error(spark, sf_dir):
+    """The exact count, and whether the merged sketches' estimate is within 2 %."""
+    exact, found = distinct_kmers_exact(spark, sf_dir).select(F.col("distinct").alias("exact")), distinct_kmers_hll(spark, sf_dir)
+    return exact.crossJoin(found).select("exact", (F.abs(F.col("distinct") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within"))  # a row each
+
+
 INDEX_SQL = f"""{LIBRARY_SQL}, {_numbers_sql(SHORT)}, pairs as (select distinct x, id from hashed),
 idx as (select x, case when count(*) = 1 then 100 + any_value(id) when count(distinct id % 4) = 1 then 10 + any_value(id % 4) else 1 end as taxid from pairs group by x)"""
 

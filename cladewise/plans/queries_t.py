@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import scalars as S
+from ..functions.parallel import cut
 from ..operators import index, library, report, resolve
 from ..operators import taxonomy as tax
 from .domains import CONFIDENCE, HITS_SQL, NODES_SQL, TREE_SQL, calls_sql, fmix_steps, hits_t, murmur_steps, nodes_t, reads_t, signed_sql, table, tree_t
@@ -25,8 +26,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _calls(spark: SparkSession, sf_dir: str, confidence: float = CONFIDENCE) -> DataFrame:
-    return resolve.resolve(reads_t(spark, sf_dir), hits_t(spark, sf_dir), tree_t(spark, sf_dir), ["read_index"], confidence)
+def _calls(spark: SparkSession, sf_dir: str, confidence: float = CONFIDENCE, tree: DataFrame | None = None) -> DataFrame:
+    return resolve.resolve(reads_t(spark, sf_dir), hits_t(spark, sf_dir), tree or tree_t(spark, sf_dir), ["read_index"], confidence)
 
 
 # --- taxonomy ---------------------------------------------------------------------------------------------------------
@@ -303,9 +304,10 @@ select cast(row_number() over (order by key) - 1 as int) as ord, 100.0 * clade_r
 
 
 def _kreport(spark, sf_dir, **kw):
-    calls, tree = _calls(spark, sf_dir), tree_t(spark, sf_dir)
-    clades = report.clade_counters(calls, hits_t(spark, sf_dir), tree) if kw.get("kmer_data") else report.clade_counts(calls, tree)
-    return report.kreport(tree, clades, report.totals(calls), **kw)
+    tree = cut(tree_t(spark, sf_dir))
+    counts = cut(report.call_counts(_calls(spark, sf_dir, tree=tree)))
+    clades = report.clade_counters(counts, hits_t(spark, sf_dir), tree) if kw.get("kmer_data") else report.clade_counts(counts, tree)
+    return report.kreport(tree, cut(clades), report.totals(counts), **kw)
 
 
 @query(_kreport_sql())
@@ -332,8 +334,9 @@ select file_index, anc as taxid, cast(sum(reads) as bigint) as clade_reads, 100.
 from direct join closure using (taxid) join (select file_index, count(*) as total from calls group by 1) using (file_index) group by file_index, anc""")
 def kreport_by_sample(spark, sf_dir):
     """Reports of all samples in one pass."""
-    calls, tree = _calls(spark, sf_dir), tree_t(spark, sf_dir)
-    rows = report.kreport(tree, report.clade_counts(calls, tree, ["file_index"]), report.totals(calls, ["file_index"]), ["file_index"])
+    tree = cut(tree_t(spark, sf_dir))
+    counts = cut(report.call_counts(_calls(spark, sf_dir, tree=tree), ["file_index"]))
+    rows = report.kreport(tree, cut(report.clade_counts(counts, tree, ["file_index"])), report.totals(counts, ["file_index"]), ["file_index"])
     return rows.filter("taxid > 0").select("file_index", "taxid", "clade_reads", "pct")
 
 
@@ -341,8 +344,8 @@ def kreport_by_sample(spark, sf_dir):
 m as (select key, clade_reads as clade_count, array_to_string(list_transform(list_filter(list_zip(rank_path, name_path), lambda x: x[1] <> 'no rank'), lambda x: case x[1] when 'superkingdom' then 'd' when 'family' then 'f' else 's' end || '__' || x[2]), '|') as lineage from walked where depth > 0)
 select cast(row_number() over (order by key) - 1 as int) as ord, lineage, clade_count from m""")
 def mpa_report(spark, sf_dir):
-    calls, tree = _calls(spark, sf_dir), tree_t(spark, sf_dir)
-    return report.mpa_report(tree, report.clade_counts(calls, tree))
+    tree = cut(tree_t(spark, sf_dir))
+    return report.mpa_report(tree, cut(report.clade_counts(_calls(spark, sf_dir, tree=tree), tree)))
 
 
 @query()
@@ -351,6 +354,14 @@ def taxon_counters_hll(spark, sf_dir):
     return report.taxon_counters(_calls(spark, sf_dir), hits_t(spark, sf_dir), approximate=True).drop("sketch")
 
 
+@query(f"{COUNTS_SQL}, k as (select taxid, count(distinct hash) as uniq from hits group by 1) select taxid, uniq as \"exact\", true as within from k")
+def taxon_counters_hll_error(spark, sf_dir):
+    """Exact distinct minimizers of each taxon that was hit, and whether its sketch's estimate is within 2 % (and one)."""
+    hits = hits_t(spark, sf_dir)
+    both = hits.groupBy("taxid").agg(F.count_distinct("hash").alias("exact"), F.hll_sketch_estimate(F.hll_sketch_agg("hash", F.lit(16))).alias("estimate"))
+    return both.select("taxid", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.02 * F.col("exact") + 1).alias("within"))
+
+
 # --- library ----------------------------------------------------------------------------------------------------------
 
 
@@ -434,12 +445,12 @@ def _keys(spark, sf_dir):
 
 @query(f"with keys as ({KEYS_SQL}), {fmix_steps('f', 'keys', 'x')} select l_orderkey, l_partkey, l_linenumber, {signed_sql('x')} as hash from f")
 def fmix64(spark, sf_dir):
-    return _keys(spark, sf_dir).select("l_orderkey", "l_partkey", "l_linenumber", H.fmix64(F.col("x")).alias("hash"))
+    return H.with_fmix64(_keys(spark, sf_dir), F.col("x")).select("l_orderkey", "l_partkey", "l_linenumber", "hash")
 
 
 @query(f"with keys as ({KEYS_SQL}), {murmur_steps('f', 'keys', 'x')} select l_orderkey, l_partkey, l_linenumber, {signed_sql('x')} as hash from f")
 def murmur_hash3(spark, sf_dir):
-    return _keys(spark, sf_dir).select("l_orderkey", "l_partkey", "l_linenumber", H.murmur_hash3(F.col("x")).alias("hash"))
+    return H.with_murmur_hash3(_keys(spark, sf_dir), F.col("x")).select("l_orderkey", "l_partkey", "l_linenumber", "hash")
 
 
 CELLS = f"with keys as ({KEYS_SQL}), {murmur_steps('f', 'keys', 'x')}"
@@ -452,27 +463,27 @@ d as (select *, cast((key * {1 << BITS}) % 4294967296 as bigint) + value as cell
 select l_orderkey, l_linenumber, l_partkey, cast(key as bigint) as key, cell, cell // {1 << BITS} as "left", cell % {1 << BITS} as "right" from d""")
 def compact_cells(spark, sf_dir):
     cell = H.cell32(F.col("x"), BITS, F.col("l_suppkey") % (1 << BITS))
-    rows = _keys(spark, sf_dir).withColumn("x", H.murmur_hash3(F.col("x"))).withColumn("cell", cell)
+    rows = H.with_murmur_hash3(_keys(spark, sf_dir), F.col("x"), "x").withColumn("cell", cell)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", H.compacted(F.col("x"), BITS).alias("key"), "cell", H.left32(F.col("cell"), BITS).alias("left"), H.right32(F.col("cell"), (1 << BITS) - 1).alias("right"))
 
 
 @query(f"""{CELLS}, i as (select l_orderkey, l_linenumber, l_partkey, cast(x % {CAPACITY} as bigint) as idx from f)
 select l_orderkey, l_linenumber, l_partkey, idx, idx // {PAGE} as page, idx % {PAGE} as place from i""")
 def hash_slot_index(spark, sf_dir):
-    rows = _keys(spark, sf_dir).withColumn("idx", H.slot_index(H.murmur_hash3(F.col("x")), CAPACITY))
+    rows = H.with_murmur_hash3(_keys(spark, sf_dir), F.col("x")).withColumn("idx", H.slot_index(F.col("hash"), CAPACITY))
     page, place = H.page_of(F.col("idx"), PAGE)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "idx", page.alias("page"), place.alias("place"))
 
 
 @query(f"{CELLS} select cast(x % {CAPACITY} as bigint) // {PAGE} as page, count(*) as entries from f group by 1")
 def partition_histogram(spark, sf_dir):
-    return index.pages(_keys(spark, sf_dir).select(H.murmur_hash3(F.col("x")).alias("hash")), CAPACITY, PAGE)
+    return index.pages(H.with_murmur_hash3(_keys(spark, sf_dir), F.col("x")).select("hash"), CAPACITY, PAGE)
 
 
 @query(f"{CELLS}, i as (select cast(x % {CAPACITY} as bigint) as idx from f) select idx // {PAGE} as page, least({PAGE}, {CAPACITY} - (idx // {PAGE}) * {PAGE}) as cells, count(distinct idx) as occupied from i group by 1")
 def hashshard_layout(spark, sf_dir):
     """Cells of a single-file table by page of the resharded one."""
-    idx = _keys(spark, sf_dir).select(H.slot_index(H.murmur_hash3(F.col("x")), CAPACITY).alias("idx")).distinct()
+    idx = H.with_murmur_hash3(_keys(spark, sf_dir), F.col("x")).select(H.slot_index(F.col("hash"), CAPACITY).alias("idx")).distinct()
     page, _ = H.page_of(F.col("idx"), PAGE)
     rows = idx.withColumn("page", page).groupBy("page").agg(F.count("*").alias("occupied"))
     return rows.select("page", F.least(F.lit(PAGE), CAPACITY - F.col("page") * PAGE).cast("long").alias("cells"), "occupied")

@@ -60,8 +60,14 @@ def _stream(spark: SparkSession, path: str):
 
 
 def read_head(spark: SparkSession, path: str, size: int) -> bytes:
-    """The first bytes of a file in any store that Spark reads."""
-    return bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("c")).first().c)
+    """The first bytes of a file in any store that Spark reads; nothing else of it is fetched."""
+    fs, p = _stream(spark, path)
+    size = min(size, fs.getFileStatus(p).getLen())
+    source = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.readFully(source, size))
+    finally:
+        source.close()
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
@@ -73,6 +79,11 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _stream(spark, path)
+    fs.delete(p, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _stream(spark, path)
     return fs.exists(p)

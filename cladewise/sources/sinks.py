@@ -38,9 +38,10 @@ def write_hits(hits: DataFrame, path: str, batches: int) -> None:
 
 
 def write_calls(lines: DataFrame, path: str) -> None:
-    """status, read_id, taxid, seq_len, hit_string as tab-separated text, a folder per file_index."""
+    """status, read_id, taxid, seq_len, hit_string as tab-separated text, a folder per file_index; its files are ranges of the reads, in order."""
     value = F.concat_ws("\t", "status", "read_id", F.col("taxid").cast("string"), "seq_len", "hit_string")
-    lines.select("file_index", value.alias("value")).repartition("file_index").write.mode("overwrite").partitionBy("file_index").text(path)
+    placed = lines.select("file_index", "read_index", value.alias("value")).repartitionByRange("file_index", "read_index").sortWithinPartitions("file_index", "read_index")
+    placed.drop("read_index").write.mode("overwrite").partitionBy("file_index").text(path)
 
 
 def write_kreport(report: DataFrame, path: str, kmer_data: bool = False) -> None:

@@ -4,6 +4,7 @@ import os
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,99 @@ def test_modes_agree_and_results_are_written(spark, sample, database, tmp_path):
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/samples").collect()) == ["1\tx,y", "2\tz"]
 
 
+def test_steps_give_what_classify_gives(spark, sample, database, tmp_path):
+    folder, _ = sample
+    inputs = [f"{folder}/52.fa", f"{folder}/pairs.fastq"]
+    api.splitr(database, inputs, str(tmp_path / "chunks"))
+    with pytest.raises(FileExistsError):
+        api.splitr(database, inputs, str(tmp_path / "chunks"))
+    api.annotate(database, str(tmp_path / "chunks"))
+    api.resolve_steps(database, str(tmp_path / "chunks"), str(tmp_path / "out"))
+    api.write_results(api.classify(database, api.read_samples(spark, inputs)), str(tmp_path / "whole"))
+    for part in ("output", "kreport", "kreport_all"):
+        a, b = (sorted(map(tuple, spark.read.text(f"{tmp_path}/{d}/{part}").collect())) for d in ("out", "whole"))
+        assert a == b and a
+    assert not os.path.exists(tmp_path / "out" / "_stage")
+
+
+def test_commands(spark, sample, tmp_path, capsys):
+    """The commands, one after the other, on the sample folder."""
+    from cladewise.__main__ import main
+
+    folder, _ = sample
+    db, names = str(tmp_path / "db"), ["--nodes", f"{folder}/nodes.dmp", "--names", f"{folder}/names.dmp"]
+    fasta = [f"{folder}/{t}.fa" for t in LENGTHS]
+    main(["estimate", "--cache", str(tmp_path / "sketches"), *fasta])
+    main(["build-db", "--db", db, *names, "-c", "90000", "--hash-capacity", "32K", *fasta])
+    assert k2d.read_config(spark, f"{db}/hash_config.k2d").capacity == 90_000
+    assert sorted(f for f in os.listdir(db) if f.startswith("hash_")) == ["hash_1.k2d", "hash_2.k2d", "hash_3.k2d", "hash_config.k2d"]
+    main(["size", "--db", db])
+    steps = ["--db", db, "--chunk-dir", str(tmp_path / "c")]
+    main(["splitr", *steps, "--min-quality", "20", f"{folder}/pairs.fastq"])
+    main(["annotate", *steps])
+    main(["resolve", *steps, "--out", str(tmp_path / "a"), "--kmer-data"])
+    main(["classify", "--db", db, "--out", str(tmp_path / "b"), "--min-quality", "20", "--kmer-data", f"{folder}/pairs.fastq"])
+    main(["direct", "--db", db, "--out", str(tmp_path / "d"), f"{folder}/pairs.fastq"])
+    a, b, d = (sorted(r.value for r in spark.read.text(f"{tmp_path}/{x}/output").collect()) for x in "abd")
+    assert a == b == d and all(line.split("\t")[:3] == ["C", f"pair_{i}", "61"] for i, line in enumerate(a))
+    main(["append-names", "--lines", f"{tmp_path}/a/output", "--report", f"{tmp_path}/d/kreport_all", "--out", str(tmp_path / "n")])
+    assert all(r.value.endswith("\tStrain A1") for r in spark.read.text(f"{tmp_path}/n").collect())
+    assert "estimated distinct minimizers" in capsys.readouterr().out
+
+
+def test_sketches_are_used_again(spark, tmp_path):
+    rng = random.Random(2)
+    for name in "ab":
+        (tmp_path / f"{name}.fa").write_text(f">taxid|5|{name}\n{dna(rng, 3000)}\n")
+    paths, cache = [str(tmp_path / "a.fa"), str(tmp_path / "b.fa")], str(tmp_path / "sketches")
+    want = api.estimate(fastx.read_fasta(spark, paths), Scheme(), 1024).first()
+    assert api.estimate_files(spark, paths[:1], Scheme(), 1024, cache=cache).first().estimate < want.estimate
+    assert api.estimate_files(spark, paths, Scheme(), 1024, cache=cache).first() == want == api.estimate_files(spark, paths, Scheme(), 1024).first()
+    rows = spark.read.parquet(cache).collect()
+    assert len(rows) == 2
+    assert api.estimate_files(spark, paths, Scheme(), 1024, cache=cache).first() == want and spark.read.parquet(cache).count() == 2
+    (tmp_path / "b.fa").write_text(f">taxid|5|b\n{dna(rng, 6000)}\n")  # changed: its old sketch does not count
+    assert api.estimate_files(spark, paths, Scheme(), 1024, cache=cache).first().estimate > 1.2 * want.estimate
+    assert spark.read.parquet(cache).count() == 3
+
+
+def test_options_are_checked(spark, sample, database, tmp_path):
+    with pytest.raises(ValueError, match="zero"):
+        api.build_db(spark, [], None, Scheme(), str(tmp_path), 0)
+    with pytest.raises(ValueError, match="zero"):
+        api.export_k2d(database, str(tmp_path), 0)
+    with pytest.raises(ValueError, match="load factor"):
+        api.estimate(spark.createDataFrame([("ACGT",)], "seq string"), Scheme(), load_factor=0.0)
+    with pytest.raises(ValueError, match="too large"):
+        index.annotate(spark.range(1), database.index, "broadcast", entries=10**9)
+
+
+def test_long_sequences_are_scanned_in_pieces(spark, monkeypatch):
+    from cladewise.operators import minimizers
+
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice("ACGTacgtN\n" if rng.random() < 0.02 else "ACGT") for _ in range(n))) for i, n in enumerate([0, 5, 34, 35, 36, 400, 1500, 90, 35, 3])] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, seq string").coalesce(1)
+    want = sorted(map(tuple, minimizers.minimizers_sql(df, Scheme(), ["id"]).collect()))
+    for letters in (1 << 20, 100, 36):
+        monkeypatch.setattr(minimizers, "SLICE_LETTERS", letters)
+        got = [p for ends in ([0, 0, 5, 405, 1905],) for p in minimizers.letter_slices(np.array(ends), 35)]
+        assert got[0][0] == 0 and got[-1][1] == 1905 and all(b <= a + letters + 35 or letters > 1905 for a, b in got)
+        at, h = [], []
+        text = "".join(s or "" for _, s in rows)
+        ends = np.cumsum([0, *(len(s or "") for _, s in rows)])
+        for a, b in minimizers.letter_slices(ends, 35):
+            x, y = minimizers.scan(np.frombuffer(text[a:b].encode(), np.uint8), Scheme())
+            at.append(x + a)
+            h.append(y)
+        at, h = np.concatenate(at), np.concatenate(h)
+        assert len(np.unique(at)) == len(at)
+        row = np.searchsorted(ends, at, side="right") - 1
+        own = at + 35 <= ends[row + 1]
+        assert sorted(zip([rows[r][0] for r in row[own]], (at - ends[row] + 1)[own].tolist(), h[own].view(np.int64).tolist(), strict=True)) == want
+    assert sorted(map(tuple, minimizers.minimizers(df, Scheme(), ["id"]).collect())) == want
+
+
 def test_database_round_trips(spark, database, tmp_path):
     database.save(str(tmp_path / "db"), 3)
     again = api.Database.load(spark, str(tmp_path / "db"))

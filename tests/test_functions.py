@@ -41,6 +41,8 @@ def test_hash_columns(spark):
     values = [0, 1, 123, U64, 1 << 63] + [random.getrandbits(64) for _ in range(200)]
     df = spark.createDataFrame([(H.signed(v),) for v in values], "x long")
     rows = df.select("x", H.fmix64(F.col("x")).alias("f"), H.murmur_hash3(F.col("x")).alias("m"), H.slot_index(F.col("x"), 31818).alias("i"), H.unsigned_at_least(F.col("x"), 1 << 63).alias("g"), H.wrapping_multiply(F.col("x"), U64 - 4).alias("w")).collect()
+    fast = H.with_murmur_hash3(H.with_fmix64(df, F.col("x"), "f"), F.col("x"), "m")
+    assert sorted(map(tuple, fast.collect())) == sorted((r.x, r.f, r.m) for r in rows)
     for r in rows:
         v = r.x & U64
         assert (r.f & U64, r.m & U64, r.i, r.g, r.w & U64) == (ref_fmix(v), ref_murmur(v), v % 31818, v >= 1 << 63, v * (U64 - 4) & U64)
