@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import bound
 from ..functions.scalars import common_prefix, required_score, trim_pair
 
 
@@ -36,11 +37,14 @@ def _sum(parts: Column, chosen) -> Column:
 
 
 def best_path(parts: Column) -> Column:
-    """Path of the lowest common ancestor of the taxa with the greatest root-to-leaf score."""
+    """Path of the lowest common ancestor of the taxa with the greatest root-to-leaf score.
+
+    All paths of that score lie between the least and the greatest of them, which are the extremes of (score, path).
+    """
     scored = F.transform(parts, lambda p: F.struct(_sum(parts, lambda u: F.array_contains(p["path"], u["taxid"])).alias("score"), p["path"].alias("path")))
-    top = F.array_max(F.transform(scored, lambda s: s["score"]))
-    paths = F.transform(F.filter(scored, lambda s: s["score"] == top), lambda s: s["path"])
-    return common_prefix(F.array_min(paths), F.array_max(paths))
+    first = lambda s: F.array_min(F.transform(s, lambda x: F.struct((-x["score"]).alias("score"), x["path"].alias("path"))))["path"]
+    ends = bound(scored, lambda s: F.struct(first(s).alias("lo"), F.array_max(s)["path"].alias("hi")))
+    return bound(ends, lambda e: common_prefix(e["lo"], e["hi"]))
 
 
 def walk_up(path: Column, parts: Column, required: Column) -> Column:
