@@ -1,6 +1,7 @@
 """Readers and writers of the binary table files (little-endian): pages, configuration, options, taxonomy.
 
-Pages are read as ``binaryFile`` rows and decoded by numpy in Arrow batches; headers are a few bytes and are parsed on the driver.
+Pages, tables and staged records are read and written by tasks in ranges of bytes and decoded by numpy in Arrow batches, so a page of 4 GB needs no
+more memory than a range; headers are a few bytes and are parsed on the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
+
 # File magic, and the layout of headers, nodes and options.
 TAXONOMY_MAGIC = b"K2TAXDAT"
 CONFIG_LAYOUT = "<6Q"  # version, partition, page cells, capacity, size, value bits
@@ -23,7 +26,12 @@ TABLE_LAYOUT = "<4Q"  # capacity, size, key bits, value bits
 OPTIONS_LAYOUT = "<4Q?7xQ3i4x"  # k, l, seed mask, toggle mask, dna, least hash, complement version, table version, table type
 NODE_FIELDS = ["parent_id", "first_child", "child_count", "name_offset", "rank_offset", "external_id", "godparent_id"]
 CHUNK_LAYOUT = "<2Q"  # partition index, cells of a chunk
+ROW_RECORD = [("value", "<u4"), ("seq_id", "<u4"), ("kmer_id", "<u4")]
+SLOT_RECORD = [("idx", "<u8"), ("value", "<u4"), ("", "V4")]
+SAMPLE_SLOT_RECORD = [("idx", "<u8"), ("value", "<u8")]
 COMPLEMENT_VERSION = 1
+#: Cells that are looked at at once for a page's first block.
+FIRST_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -114,21 +122,45 @@ def write_options(spark: SparkSession, path: str, o: IndexOptions) -> None:
     write_bytes(spark, path, struct.pack(OPTIONS_LAYOUT, o.k, o.l, o.seed_mask, o.toggle_mask, o.dna, o.least_hash, o.complement_version, o.table_version, o.table_type))
 
 
+def _cell_ranges(spark: SparkSession, path: str, head: int, size: int) -> DataFrame:
+    """place, first, n: ranges of whole records behind the head of each file."""
+    step = max(1, ranges.RANGE // size)
+    rows = [(place, at, min(step, (length - head) // size - at)) for place, length in ranges.found(spark, path) for at in range(0, (length - head) // size, step)]
+    return ranges.tasks(spark, rows, "place string, first long, n long") if rows else spark.createDataFrame([], "place string, first long, n long")
+
+
 def read_pages(spark: SparkSession, path: str, header: str = PAGE_LAYOUT) -> DataFrame:
     """page, idx, cell of the occupied cells of page files. idx counts within the page."""
-    size = struct.calcsize(header)
+    head = struct.calcsize(header)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                raw = content.as_buffer()
-                first, second, *_ = struct.unpack_from(header, raw)
-                page, n = (first, second) if header == PAGE_LAYOUT else (1, first)
-                cells = np.frombuffer(raw, "<u4", n, size)
+            for r in batch.to_pylist():
+                with ranges.opened(r["place"]) as f:
+                    first, second, *_ = struct.unpack(header, f.read(head))
+                    page, n = (first, second) if header == PAGE_LAYOUT else (1, first)
+                    f.seek(head + 4 * r["first"])
+                    cells = np.frombuffer(f.read(4 * max(0, min(r["n"], n - r["first"]))), "<u4")
                 at = np.flatnonzero(cells)
-                yield pa.record_batch([pa.array(np.full(len(at), page, np.int64)), pa.array(at), pa.array(cells[at].astype(np.int64))], names=["page", "idx", "cell"])
+                yield pa.record_batch([pa.array(np.full(len(at), page, np.int64)), pa.array(at + r["first"]), pa.array(cells[at].astype(np.int64))], names=["page", "idx", "cell"])
+
+    return _cell_ranges(spark, path, head, 4).mapInArrow(run, "page long, idx long, cell long")
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page long, idx long, cell long")
+def read_records(spark: SparkSession, path: str, record: list[tuple[str, str]], head: int = 0) -> DataFrame:
+    """The records of staged files (hits ``ROW_RECORD``, cells ``SLOT_RECORD``, samples ``SAMPLE_SLOT_RECORD``): place, and its fields as BIGINT."""
+    kind = np.dtype(record)
+    names = [n for n, _ in record if n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with ranges.opened(r["place"]) as f:
+                    f.seek(head + kind.itemsize * r["first"])
+                    own = np.frombuffer(f.read(kind.itemsize * r["n"]), kind)
+                yield pa.record_batch([pa.array([r["place"]] * len(own), pa.string()), *(pa.array(own[n].astype(np.uint64).view(np.int64)) for n in names)], names=["place", *names])
+
+    return _cell_ranges(spark, path, head, kind.itemsize).mapInArrow(run, "place string, " + ", ".join(f"{n} long" for n in names))
 
 
 def read_first_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -136,15 +168,18 @@ def read_first_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                raw = content.as_buffer()
-                page, n = struct.unpack_from(PAGE_LAYOUT, raw)
-                cells = np.frombuffer(raw, "<u4", n, struct.calcsize(PAGE_LAYOUT))
-                empty = np.flatnonzero(cells == 0)
-                end = int(empty[0]) if len(empty) else n
-                yield pa.record_batch([pa.array(np.full(end, page, np.int64)), pa.array(np.arange(end)), pa.array(cells[:end].astype(np.int64))], names=["page", "idx", "cell"])
+            for r in batch.to_pylist():
+                with ranges.opened(r["place"]) as f:
+                    page, n = struct.unpack(PAGE_LAYOUT, f.read(struct.calcsize(PAGE_LAYOUT)))
+                    at, full = 0, True
+                    while full and at < n:
+                        cells = np.frombuffer(f.read(4 * min(FIRST_CELLS, n - at)), "<u4")
+                        empty = np.flatnonzero(cells == 0)
+                        end = int(empty[0]) if len(empty) else len(cells)
+                        yield pa.record_batch([pa.array(np.full(end, page, np.int64)), pa.array(np.arange(at, at + end)), pa.array(cells[:end].astype(np.int64))], names=["page", "idx", "cell"])
+                        full, at = end == len(cells) > 0, at + len(cells)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "page long, idx long, cell long")
+    return ranges.tasks(spark, [(place,) for place, _ in ranges.found(spark, path)], "place string").mapInArrow(run, "page long, idx long, cell long")
 
 
 def decoded(cells: DataFrame, value_bits: int) -> DataFrame:
@@ -152,37 +187,102 @@ def decoded(cells: DataFrame, value_bits: int) -> DataFrame:
     return cells.withColumn("key", F.shiftrightunsigned("cell", value_bits)).withColumn("internal_id", F.col("cell").bitwiseAND(F.lit((1 << value_bits) - 1).cast("long")))
 
 
+def _placed(idx: np.ndarray, cell: np.ndarray, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a range (start, size) after linear probing, and those that run over its end."""
+    order = np.lexsort((cell, idx))
+    idx, cell = idx[order] - start, cell[order]
+    step = np.arange(len(idx))
+    place = np.maximum.accumulate(idx - step) + step if len(idx) else idx
+    inside = place < size
+    out = np.zeros(size, "<u4")
+    out[place[inside]] = cell[inside]
+    return out, cell[~inside]
+
+
 def write_pages(cells: DataFrame, directory: str, capacity: int, page_cells: int) -> None:
-    """hash_N.k2d files (N from 1) from (idx, cell): one task a page, which is bounded by ``page_cells`` cells.
+    """hash_N.k2d files (N from 1) from (idx, cell), written by tasks, a page by one of them range by range.
 
     Entries that share a place are put in the next free one of the page, wrapping, as probing would; a page with more entries than
-    cells is an error. Spark's binary files have no writer, so tasks write through Hadoop from the driver page by page.
+    cells is an error. Ranges are filled side by side; the few entries that run over a range's end take the first free places of those
+    behind it, where probing from their own place, past full cells only, finds them.
     """
     spark = cells.sparkSession
-    n_pages = -(-capacity // page_cells)
-    placed = cells.withColumn("page", F.floor(F.col("idx") / page_cells).cast("long"))
+    step = max(1, min(page_cells, ranges.RANGE // 4))
+    page = F.floor(F.col("idx") / page_cells).cast("long")
+    within = F.col("idx") % page_cells
+    ranged = cells.select(page.alias("page"), F.floor(within / step).cast("long").alias("part"), within.cast("long").alias("at"), F.col("cell").cast("long").alias("cell"))
+
+    def size_of(page: int, part: int) -> int:
+        return min(step, min(page_cells, capacity - page * page_cells) - part * step)
+
+    def over(key: tuple, table: pa.Table) -> pa.Table:
+        page, part = (k.as_py() for k in key)
+        _, rest = _placed(table["at"].to_numpy(), table["cell"].to_numpy(), part * step, size_of(page, part))
+        return pa.table([pa.array([page]), pa.array([part]), pa.array([size_of(page, part) - table.num_rows + len(rest)]), pa.array([rest.tolist()], pa.list_(pa.int64()))], names=["page", "part", "free", "rest"])
 
-    def pack(key: tuple, table: pa.Table) -> pa.Table:
+    def dealt_over(key: tuple, table: pa.Table) -> pa.Table:
+        """Which range takes which of the entries that ran over."""
         page = key[0].as_py()
-        table = table.sort_by([("idx", "ascending"), ("cell", "ascending")])
-        size = min(page_cells, capacity - page * page_cells)
-        if table.num_rows > size:
-            raise ValueError(f"page {page + 1}: {table.num_rows} entries for {size} cells")
-        out, at = np.zeros(size, "<u4"), table["idx"].to_numpy() % page_cells
-        for place, cell in zip(at.tolist(), table["cell"].to_numpy().tolist(), strict=True):
-            while out[place]:
-                place = (place + 1) % size
-            out[place] = cell
-        return pa.table([pa.array([page]), pa.array([struct.pack(PAGE_LAYOUT, page + 1, size) + out.tobytes()], pa.binary())], names=["page", "content"])
-
-    packed = placed.select("page", "idx", "cell").groupBy("page").applyInArrow(pack, "page long, content binary")
-    done = set()
-    for row in packed.toLocalIterator():  # a page at a time
-        write_bytes(spark, f"{directory}/hash_{row.page + 1}.k2d", bytes(row.content))
-        done.add(row.page)
-    for page in set(range(n_pages)) - done:
-        size = min(page_cells, capacity - page * page_cells)
-        write_bytes(spark, f"{directory}/hash_{page + 1}.k2d", struct.pack(PAGE_LAYOUT, page + 1, size) + bytes(4 * size))
+        parts = -(-min(page_cells, capacity - page * page_cells) // step)
+        free, rest = [size_of(page, i) for i in range(parts)], [[] for _ in range(parts)]
+        for r in table.to_pylist():
+            free[r["part"]], rest[r["part"]] = r["free"], r["rest"]
+        taken = [[] for _ in range(parts)]
+        for i in range(parts):
+            to = i
+            for cell in rest[i]:
+                for _ in range(parts + 1):
+                    if free[to % parts] and to > i:
+                        break
+                    to += 1
+                else:
+                    raise ValueError(f"page {page + 1}: more entries than cells")
+                free[to % parts] -= 1
+                taken[to % parts].append(cell)
+        kept = [i for i in range(parts) if taken[i]]
+        return pa.table([pa.array([page] * len(kept), pa.int64()), pa.array(kept, pa.int64()), pa.array([taken[i] for i in kept], pa.list_(pa.int64()))], names=["page", "part", "taken"])
+
+    def packed(key: tuple, own: pa.Table, carried: pa.Table) -> pa.Table:
+        page, part = (k.as_py() for k in key)
+        out, _ = _placed(own["at"].to_numpy(), own["cell"].to_numpy(), part * step, size_of(page, part))
+        for taken in carried["taken"].to_pylist():
+            out[np.flatnonzero(out == 0)[: len(taken)]] = taken
+        return pa.table([pa.array([page]), pa.array([part]), pa.array([out.tobytes()], pa.binary())], names=["page", "part", "content"])
+
+    place = ranges.location(spark, directory)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, out, at = None, None, 0
+
+        def until(part: int) -> None:
+            nonlocal at
+            while at < part:
+                out.write(bytes(4 * size_of(page, at)))
+                at += 1
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["page"] != page:
+                    if out:
+                        until(-(-min(page_cells, capacity - page * page_cells) // step))
+                        out.close()
+                    page, at = r["page"], 0
+                    out = ranges.created(f"{place}/hash_{page + 1}.k2d")
+                    out.write(struct.pack(PAGE_LAYOUT, page + 1, min(page_cells, capacity - page * page_cells)))
+                if r["content"] is not None:
+                    until(r["part"])
+                    out.write(r["content"])
+                    at += 1
+        if out:
+            until(-(-min(page_cells, capacity - page * page_cells) // step))
+            out.close()
+        yield pa.record_batch([pa.array([1 if out else 0])], names=["done"])
+
+    by = ["page", "part"]
+    carried = ranged.groupBy(*by).applyInArrow(over, "page long, part long, free long, rest array<long>").groupBy("page").applyInArrow(dealt_over, "page long, part long, taken array<long>")
+    content = ranged.groupBy(*by).cogroup(carried.groupBy(*by)).applyInArrow(packed, "page long, part long, content binary")
+    every = spark.range(pages_needed(capacity, page_cells)).select(F.col("id").alias("page"), F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("content"))
+    content.unionByName(every).repartition("page").sortWithinPartitions("page", "part").mapInArrow(write, "done long").agg(F.sum("done")).collect()
 
 
 def write_taxonomy(table: DataFrame, path: str) -> None:
@@ -236,23 +336,31 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 def reshard(spark: SparkSession, table: str, directory: str, page_cells: int) -> HashConfig:
     """A single-file table as pages of ``page_cells`` cells and a configuration; refuses to overwrite one.
 
-    The file is read in ranges through Spark's file system, a page in memory at a time.
+    A page is copied by a task, range by range.
     """
     if exists(spark, f"{directory}/hash_config.k2d"):
         raise FileExistsError(f"{directory}/hash_config.k2d")
     own = read_table_header(spark, table)
     config = HashConfig(0, -(-own.capacity // page_cells), page_cells, own.capacity, own.size, own.value_bits)
-    fs, p = _stream(spark, table)
-    head = struct.calcsize(TABLE_LAYOUT)
-    source = fs.open(p)
-    try:
-        for page in range(config.partition):
-            cells = min(page_cells, own.capacity - page * page_cells)
-            source.seek(head + 4 * page * page_cells)
-            raw = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.readFully(source, 4 * cells))
-            write_bytes(spark, f"{directory}/hash_{page + 1}.k2d", struct.pack(PAGE_LAYOUT, page + 1, cells) + raw)
-    finally:
-        source.close()
+    head, source, place = struct.calcsize(TABLE_LAYOUT), ranges.location(spark, table), ranges.location(spark, directory)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column("page").to_pylist():
+                cells = min(page_cells, own.capacity - page * page_cells)
+                with ranges.opened(source) as f, ranges.created(f"{place}/hash_{page + 1}.k2d") as out:
+                    out.write(struct.pack(PAGE_LAYOUT, page + 1, cells))
+                    f.seek(head + 4 * page * page_cells)
+                    left = 4 * cells
+                    while left:
+                        raw = f.read(min(left, ranges.RANGE))
+                        if not raw:
+                            raise ValueError(f"{source} ends early")
+                        out.write(raw)
+                        left -= len(raw)
+            yield pa.record_batch([batch.column("page")], names=["page"])
+
+    ranges.tasks(spark, [(i,) for i in range(config.partition)], "page long").mapInArrow(copy, "page long").count()
     write_config(spark, f"{directory}/hash_config.k2d", config)
     return config
 

@@ -286,6 +286,45 @@ def test_database_round_trips(spark, database, tmp_path):
     assert k2d.decoded(cells, config.value_bits).filter("internal_id = 0").count() == 0
 
 
+@pytest.mark.parametrize("range_bytes", [64 << 20, 40])
+def test_pages_across_ranges(spark, tmp_path, monkeypatch, range_bytes):
+    """Pages written and read in ranges: every entry is where probing from its own place finds it."""
+    from cladewise.sources import ranges
+
+    monkeypatch.setattr(ranges, "RANGE", range_bytes)
+    rng, capacity, page_cells = random.Random(range_bytes), 130, 50
+    homes = [rng.randrange(50) for _ in range(40)] + [49] * 5 + [100 + rng.randrange(30) for _ in range(20)] + [129] * 4  # page 2 is empty
+    entries = [(h, i + 1) for i, h in enumerate(homes)]
+    k2d.write_pages(spark.createDataFrame(entries, "idx long, cell long"), f"file://{tmp_path}", capacity, page_cells)
+    rows = k2d.read_pages(spark, f"file://{tmp_path}/hash_[0-9].k2d").collect()
+    table = {(r.page - 1) * page_cells + r.idx: r.cell for r in rows}
+    assert sorted(table.values()) == [c for _, c in entries]
+    for home, cell in entries:
+        page = home // page_cells
+        size, at = min(page_cells, capacity - page * page_cells), home
+        while table[at] != cell:
+            at = page * page_cells + (at + 1 - page * page_cells) % size
+            assert at != home
+    assert [os.path.getsize(tmp_path / f"hash_{i}.k2d") for i in (1, 2, 3)] == [16 + 200, 16 + 200, 16 + 120]
+    with pytest.raises(Exception, match="more entries than cells"):
+        k2d.write_pages(spark.createDataFrame([(3, i + 1) for i in range(51)], "idx long, cell long"), f"file://{tmp_path}", 50, 50)
+
+
+def test_staged_records(spark, tmp_path):
+    from cladewise.sources import ranges
+
+    (tmp_path / "sample_file_1_1.bin").write_bytes(struct.pack("<6I", 7, 1, 2, 8, 3, 4))
+    (tmp_path / "chunk_1.k2").write_bytes(struct.pack("<2Q", 1, 50) + struct.pack("<QIxxxx", 5, 6))
+    (tmp_path / "sample_1.k2").write_bytes(struct.pack("<2Q", 1, 50) + struct.pack("<4Q", 5, 1 << 63, 6, 2))
+    assert k2d.sample_chunk_header((tmp_path / "chunk_1.k2").read_bytes()) == (1, 50)
+    got = lambda name, *a: [tuple(r)[1:] for r in k2d.read_records(spark, f"file://{tmp_path}/{name}", *a).collect()]
+    assert sorted(got("sample_file_*.bin", k2d.ROW_RECORD)) == [(7, 1, 2), (8, 3, 4)]
+    assert got("chunk_1.k2", k2d.SLOT_RECORD, 16) == [(5, 6)]
+    assert sorted(got("sample_1.k2", k2d.SAMPLE_SLOT_RECORD, 16)) == [(5, -(1 << 63)), (6, 2)]
+    with pytest.raises(FileNotFoundError):
+        ranges.found(spark, f"file://{tmp_path}/none*")
+
+
 def test_reshard(spark, tmp_path):
     cells = [0, 5, 0, 7, 9, 0, 0, 11, 2, 0]
     (tmp_path / "hash.k2d").write_bytes(struct.pack("<4Q", 10, 5, 27, 5) + struct.pack("<10I", *cells))
