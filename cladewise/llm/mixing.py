@@ -10,7 +10,7 @@ join, which Spark broadcasts or splits by size and skew.
 
 Defined cases: null sources are one source; null text counts as no bytes, each document as one byte more; a source that ``weights``
 does not name has weight 0 and no copies; documents that share an identifier draw the same number (null identifiers draw by their
-text); means over 256 are drawn in parts; an empty table gives an empty result; extra columns are carried, but for the names ``copy``,
+text); rows repeated in full are drawn each, with the same number; very long texts are carried whole; means over 256 are drawn in parts; an empty table gives an empty result; extra columns are carried, but for the names ``copy``,
 ``n_copies`` and ``place``, which are written anew.
 
 The SQL checks less than the operator does: it has at most 200 copies of a document, draws in one part whatever the rate (the operator: in parts of at
@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """The columns of docs, and copy (from 1), n_copies, place; rows shuffled globally."""
     own = [c for c in docs.columns if c not in ("copy", "n_copies", "place")]
     table = poisson_table(repetition_rates(docs, weights, source_col, text_col)).select("mix_source", "parts", "cdf")
-    table = Scratch(docs.sparkSession).table(table.coalesce(1), "rates")  # its size is then known, and with it the kind of join
+    table = Scratch(docs.sparkSession).table(table, "rates")  # its size is then known, and with it the kind of join
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     # the row travels as one column, so names of its own cannot clash with those used here
     rows = docs.select(F.struct(*own).alias("row"), key.alias("key"), F.col(source_col).alias("of"))

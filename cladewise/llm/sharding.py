@@ -7,10 +7,11 @@ target's capacity still allows (``SLACK`` above an even share; rows without link
 capacity demands it. Steps end when no row asks to move, and after ``STEPS`` in any case: what still asks then stays where it is. At the end rows in excess of a shard's exact size go to the shards that lack some, rows without links first.
 
 The law is ``rows``: counts differ by one at most. Ranks come from prefix sums over counts of small buckets and a row number
-inside a bucket, so no shard is ever sorted in one task. The driver sees only shard-by-shard counts.
+inside a bucket, so no shard is ever sorted in one task; a hub of more than ``HEAVY`` rows is dealt into parts of about that size, both there and where
+its members meet its counts. The driver sees only shard-by-shard counts.
 
 Defined cases: null text is linked with empty text (size 1, checksum 0); null identifiers and rows repeated in full are
-rows of their own with slots of their own; an empty table gives an empty result; fewer rows than shards leave shards empty; other columns
+rows of their own with slots of their own; very long texts are hashed and measured, nothing else; of equal pulls the tie goes by a hash; an empty table gives an empty result; fewer rows than shards leave shards empty; other columns
 are not read.
 """
 
@@ -25,6 +26,7 @@ SHARDS = 16
 STEPS = 6
 SLACK = 0.1
 WHOLE, WHOLE_LEAST = 0.05, 8
+HEAVY = 2000
 
 
 def _splits(members: Column, capacity: float) -> Column:
@@ -32,6 +34,15 @@ def _splits(members: Column, capacity: float) -> Column:
     return members > max(WHOLE_LEAST, WHOLE * capacity)
 
 
+def _parts(members: Column) -> Column:
+    """Into how many parts of about ``HEAVY`` rows a hub is dealt."""
+    return F.ceil(members / float(HEAVY)).cast("int")
+
+
+def _part(members: Column) -> Column:
+    return F.pmod(F.xxhash64("rid", F.lit(11)), _parts(members)).cast("int")
+
+
 def _quotas(asked: dict[tuple[int, int], int], size: list[int], capacity: int) -> list[float]:
     """Admitted share of the moves from each shard to each other one, flat: swaps, then what free capacity allows."""
     n = len(size)
@@ -66,14 +77,17 @@ def propagate(scratch: Scratch, rows: DataFrame, links: DataFrame, shards: int,
     """(rid, label, hubs): the shard each linked row of ``links`` (rid, hub) has moved to; ``rows`` (rid, start) are all rows."""
     capacity = -int(-n_rows * (1 + SLACK) // shards)
     degree = links.groupBy("hub").agg(F.count("*").alias("members")).filter("members > 1")
+    # a table of its own, so that the join can deal the rows of a hot hub to several tasks
+    degree = scratch.table(degree, "degree")
     linked = scratch.table(links.join(degree, "hub").select("rid", "hub", "members"), "links")
     own = scratch.table(linked.groupBy("rid").agg(F.max("members").alias("members"), F.max_by("hub", "members").alias("lead")).join(rows, "rid").select("rid", "members", "lead", F.col("start").alias("label")), "label-0")
     size = _counts(own, "label")
     size = [size.get((j,), 0) for j in range(shards)]
     for step in range(steps):
-        seen = linked.join(own.select("rid", "label"), "rid").groupBy("hub", "label").agg(F.count("*").alias("n"))
-        # a hub's members pull with the share that they are of it
-        pull = linked.join(seen, "hub").groupBy("rid", "label").agg(F.sum(F.col("n") / F.col("members")).alias("pull"), F.max(F.xxhash64("hub", "label")).alias("tie"))
+        seen = linked.join(own.select("rid", "label"), "rid").groupBy("hub", "label").agg(F.count("*").alias("n"), F.max("members").alias("of"))
+        # a hub's members pull with the share that they are of it; those of a large one meet its counts in several places
+        seen = seen.select("hub", "label", "n", F.explode(F.sequence(F.lit(0), _parts(F.col("of")) - 1)).alias("part"))
+        pull = linked.withColumn("part", _part(F.col("members"))).join(seen, ["hub", "part"]).groupBy("rid", "label").agg(F.sum(F.col("n") / F.col("members")).alias("pull"), F.max(F.xxhash64("hub", "label")).alias("tie"))
         best = pull.groupBy("rid").agg(F.max_by("label", F.struct("pull", "tie")).alias("to"))
         asks = own.join(best, "rid")
         draw = F.when(_splits(F.col("members"), capacity), F.xxhash64("rid", F.lit(step))).otherwise(F.xxhash64("lead", "label", F.lit(step)))
@@ -113,8 +127,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     whole = ~_splits(F.col("members"), capacity)
     label = F.coalesce("label", "start")
     # rows without links leave first, then small groups as wholes
-    moved = base.join(own, "rid", "left").select(*base.columns, label.alias("label"), F.when(F.col("members").isNull(), 0).otherwise(1).alias("tied"), F.when(whole, F.col("hub")).otherwise(F.col("rid")).alias("unit"))
-    moved = scratch.table(moved.withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(buckets))), "moved")
+    moved = base.join(own, "rid", "left").select(*base.columns, label.alias("label"), F.when(F.col("members").isNull(), 0).otherwise(1).alias("tied"), F.when(whole, F.col("hub")).otherwise(F.col("rid")).alias("unit"), F.when(whole & (F.col("members") > HEAVY), F.col("members")).alias("heavy"))
+    # a hub beyond HEAVY rows has places of its own behind its bucket's other rows, in parts
+    moved = moved.withColumns({"bucket": F.pmod(F.xxhash64("unit"), F.lit(buckets)), "own": F.when(F.col("heavy").isNull(), 0).otherwise(F.col("unit")), "part": F.when(F.col("heavy").isNull(), 0).otherwise(_part(F.col("heavy")))})
+    moved = scratch.table(moved.drop("heavy"), "moved")
     have = _counts(moved, "label")
     have = [have.get((j,), 0) for j in range(shards)]
     want = [n_rows // shards] * shards
@@ -123,7 +139,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     excess, lack = [max(0, h - w) for h, w in zip(have, want, strict=True)], [max(0, w - h) for h, w in zip(have, want, strict=True)]
     before = [sum(excess[:j]) for j in range(shards)]
     filled = [sum(lack[: j + 1]) for j in range(shards)]
-    ranked = _ranked(moved, "label", ["tied", "bucket"], ["unit", "rid"], "rank")
+    ranked = _ranked(moved, "label", ["tied", "bucket", "own", "part"], ["unit", "rid"], "rank")
     pool = _at(before, F.col("label")) + F.col("rank")
     target = F.size(F.filter(F.array(*[F.lit(f) for f in filled]), lambda f: f <= pool))
     placed = ranked.withColumn("shard", F.when(F.col("rank") < _at(excess, F.col("label")), target).otherwise(F.col("label")).cast("int"))
