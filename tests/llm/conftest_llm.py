@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-CLASH = ["kept", "size", "tag", "doc", "id", "row", "key", "cdf", "parts", "label", "nth", "_nth", "n", "c", "h", "shard", "expected_grade", "tail_prob", "mix_source", "bucket", "marks"]
+CLASH = ["kept", "size", "tag", "doc", "id", "row", "key", "cdf", "parts", "label", "nth", "_nth", "n", "c", "shard", "expected_grade", "tail_prob", "mix_source", "bucket", "marks", "copy", "n_copies", "place", "part", "item", "h", "text_crc32", "own", "set", "before"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -54,6 +54,31 @@ def test_code_lengths_against_definition():
         assert np.allclose(got[i], [cost(lang, int(k), language_id.ORDER) for k in grams[language_id.ORDER]], atol=1e-3)
 
 
+def test_blocks_of_languages_and_pruned_trees(spark):
+    """Blocks change nothing; trees cut to a size still tell the languages apart."""
+    rng = random.Random(9)
+    counts = {}
+    for x in VOWELS:
+        grams, _ = language_id._grams(pa.array([say(rng, x, 60) for _ in range(5)]))
+        for o, g in enumerate(grams):
+            counts[o, x] = np.unique(g.astype(np.int64), return_counts=True)
+    grams, offsets = language_id._grams(pa.array([say(rng, "aa", 9), say(rng, "bb", 7)]))
+    one, two = (language_id.Forest(counts, block).bits(grams[language_id.ORDER], offsets[:-1]) for block in (1, 8))
+    assert np.allclose(one, two, atol=1e-2) and one.argmin(axis=0).tolist() == [0, 1]
+    limit = language_id._bytes(counts, 8) // 3
+    small = language_id.pruned(counts, limit)
+    assert language_id._bytes(small, 8) <= limit and len(small[0, "aa"][0]) == len(counts[0, "aa"][0])
+    assert language_id.Forest(small).bits(grams[language_id.ORDER], offsets[:-1]).argmin(axis=0).tolist() == [0, 1]
+
+
+def test_language_ties_and_identifiers(spark):
+    """Equal code lengths: the first language in order. Rows of null and of shared identifiers are learned and scored."""
+    rows = [(None, "kata"), (None, "kata"), (1, "kata"), (1, "kata"), (2, "kata")]
+    docs = make(spark, [t for _, t in rows], ids=[i for i, _ in rows], langs=["bb", "aa", "aa", "bb", None])
+    got = language_id.identify(docs, F.lit(False)).collect()
+    assert len(got) == 5 and {(r.lang_pred, r.score) for r in got} == {("aa", 0.5)}
+
+
 def test_lookup_finds_all_and_nothing_else():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(1 << 32, size=5000, dtype=np.uint32))
@@ -104,6 +129,39 @@ def test_ftrl_is_sparse_and_separates():
     assert w[1] > 1 and w[2] < -0.5 and (w == 0).mean() > 0.3
 
 
+def test_ftrl_against_the_update_written_out():
+    """z, n and w of each coordinate, one number at a time, by the published update."""
+    rng = np.random.default_rng(15)
+    model, z, n, bias, bias_n = toxicity.Ftrl(6), [0.0] * 64, [0.0] * 64, 0.0, 0.0
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + np.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(400):
+        at, label = np.unique(rng.integers(64, size=12)), int(rng.random() < 0.4)
+        model.learn(at, label)
+        p = 1 / (1 + np.exp(-(sum(weight(i) for i in at) + bias)))
+        g = p - label
+        for i in at:
+            w, sigma = weight(i), (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / toxicity.ALPHA
+            z[i] += g - sigma * w
+            n[i] += g * g
+        bias_n += g * g
+        bias -= toxicity.BIAS_ALPHA / (toxicity.BETA + np.sqrt(bias_n)) * g
+    assert np.allclose(model.z, z, atol=1e-2) and np.allclose(model.n, n, rtol=1e-3) and abs(model.bias - bias) < 1e-3
+    assert np.allclose(model.weights(np.arange(64)), [weight(i) for i in range(64)], atol=1e-2)
+
+
+def test_scores_of_null_and_shared_identifiers(spark):
+    texts, ids = ["vile a b", "c d e", "vile a b", "c d e", None], [None, 3, 3, 3, None]
+    docs = make(spark, texts, ids=ids)
+    given = labels(spark, [(3, 1, 0), (3, 1, 1), (None, 0, 1)])
+    for got in (toxicity.toxicity(docs, given, F.lit(False)).collect(), quality.rate_quality(docs, given, F.lit(False)).collect()):
+        assert sorted((r.doc_id for r in got), key=repr) == sorted(ids, key=repr)
+
+
 @pytest.mark.parametrize("given,score", [([], 0.0), ([(0, 1, 1)], 1.0)])
 def test_toxicity_with_one_label(spark, given, score):
     got = toxicity.toxicity(make(spark, ["a b", None]), labels(spark, given), F.lit(False)).collect()
@@ -139,6 +197,35 @@ def test_ordered_thresholds_and_gradient():
     assert np.allclose(p.sum(axis=1), 1) and (p.argmax(axis=1) == np.arange(5)).all()
 
 
+@pytest.mark.parametrize("grade", range(4))
+def test_gradient_against_finite_differences(grade):
+    """What a step adds up for each weight and threshold parameter is the gradient of the row's negative log-likelihood."""
+    rng = np.random.default_rng(grade)
+    at, x = np.arange(5), rng.random(5)
+    w, first, gaps = rng.normal(size=5), 0.3, rng.normal(size=2) / 2
+
+    def loss(w, first, gaps):
+        t = first + np.append(0.0, np.cumsum(np.exp(gaps)))
+        below = np.concatenate([[0.0], 1 / (1 + np.exp(-(t - w @ x))), [1.0]])
+        return -np.log(below[grade + 1] - below[grade])
+
+    m = quality.CumulativeLink(4)
+    m.w[at], m.first, m.gaps = w, first, gaps.copy()
+    m.gw[:], m.gt[:] = 1e-30, 1e-30  # so the sums hold the squares of this one gradient
+    m.learn(at, x, grade)
+    moved = np.sign(np.concatenate([w - m.w[at], [first - m.first], gaps - m.gaps]))
+    got = moved * np.sqrt(np.concatenate([m.gw[at], m.gt]))
+    e, want = 1e-6, []
+    for i in range(5):
+        d = np.eye(5)[i] * e
+        want.append((loss(w + d, first, gaps) - loss(w - d, first, gaps)) / (2 * e))
+    want.append((loss(w, first + e, gaps) - loss(w, first - e, gaps)) / (2 * e))
+    for i in range(2):
+        d = np.eye(2)[i] * e
+        want.append((loss(w, first, gaps + d) - loss(w, first, gaps - d)) / (2 * e))
+    assert np.allclose(got, want, atol=1e-5)
+
+
 def test_quality_filter_carries_rows(spark):
     rng = random.Random(8)
     y = [i % 2 for i in range(200)]
