@@ -6,8 +6,6 @@ joins when its measured size allows.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +20,19 @@ def with_paths(nodes: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     if int(spark.conf.get("spark.sql.cteRecursionRowLimit", "1000000")) < RECURSION_ROWS:
         spark.conf.set("spark.sql.cteRecursionRowLimit", str(RECURSION_ROWS))
-    view = f"nodes_{uuid.uuid4().hex}"
-    nodes.select(F.col("taxid").cast("long"), F.col("parent").cast("long"), "rank", "name").createOrReplaceTempView(view)
-    return spark.sql(f"""
+    rows = nodes.select(F.col("taxid").cast("long"), F.col("parent").cast("long"), "rank", "name")
+    return spark.sql(
+        """
         WITH RECURSIVE tree AS (
           SELECT taxid, CAST(0 AS BIGINT) AS parent, rank, name, 0 AS depth, array(taxid) AS path, array(rank) AS rank_path, array(name) AS name_path
-          FROM {view} WHERE taxid = {ROOT}
+          FROM {nodes} WHERE taxid = {root}
           UNION ALL
           SELECT n.taxid, n.parent, n.rank, n.name, t.depth + 1, concat(t.path, array(n.taxid)), concat(t.rank_path, array(n.rank)), concat(t.name_path, array(n.name))
-          FROM {view} n JOIN tree t ON n.parent = t.taxid WHERE n.taxid <> {ROOT}
-        ) SELECT * FROM tree""")
+          FROM {nodes} n JOIN tree t ON n.parent = t.taxid WHERE n.taxid <> {root}
+        ) SELECT * FROM tree""",
+        nodes=rows,
+        root=ROOT,
+    )
 
 
 def marked_nodes(tree: DataFrame, taxids: DataFrame) -> DataFrame:
