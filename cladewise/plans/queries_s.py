@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index, minimizers, report, resolve
-from .domains import FULL, PLAIN, SHORT, dna_sql, genomes_s, kmers_sql, murmur_steps, number_sql, reads_s, signed_sql, tree_s
+from ..sources import fastx
+from .domains import FULL, PLAIN, SHORT, dna_sql, genomes_s, kmers_sql, murmur_steps, number_sql, pseudo_dna, reads_s, signed_sql, table, tree_s
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,6 +49,16 @@ def reads_scan(spark, sf_dir):
     return reads_s(spark, sf_dir).select("read_index", F.length("seq").cast("long").alias("length"), F.col("n").cast("long").alias("n"))
 
 
+@query(f"""with s as (select c_custkey, {dna_sql('c_name')} as seq from customer)
+select c_custkey, array_to_string(list_transform(range(1, len(seq) + 1), lambda i: case when (c_custkey * 7 + i * 13) % 41 < 20 then 'N' else seq[i] end), '') as seq from s""")
+def quality_mask(spark, sf_dir):
+    """Customers' names as reads, with qualities of 0 to 40 by place: letters below 20 become N."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", pseudo_dna(F.col("c_name")).alias("seq"))
+    letter = lambda i: F.char(33 + (F.col("c_custkey") * 7 + i * 13) % 41)
+    qual = F.array_join(F.transform(F.sequence(F.lit(1), F.length("seq")), letter), "")
+    return rows.select("c_custkey", fastx.mask_quality(F.col("seq"), qual, 20).alias("seq"))
+
+
 @query(f"with {LIBRARY_SQL}, {_numbers_sql(FULL)} select 100 + id as taxid, cast(pos as int) as pos, {signed_sql('x')} as hash from hashed")
 def minimizers_kernel(spark, sf_dir):
     return _library_kmers(spark, sf_dir)
