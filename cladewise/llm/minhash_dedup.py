@@ -10,12 +10,14 @@ draws pairs at the threshold for sets of any size). The others, and pairs of one
 
 Groups are never expanded into all their pairs. Documents with equal sets are one class. Within a band, classes are first
 linked to one class (the star), then to members of the band's largest component; only classes that still stand outside the largest
-component of a band meet all members of that band in other components. A link between two members of one component can change nothing, so the components
+component of a band meet all members of that band in other components: directly in bands of up to ``DIRECT`` classes, in wider ones by an exact
+prefix filter over the rarest shingles, so that a wide band of texts that are all a little too different costs no pair. A link between two members of one component can change nothing, so the components
 are those of all links.
 
 Defined cases: null text, empty text and text without words have an empty set and are linked with nothing; fewer than five words are
 one shingle; null identifiers count as the largest and stay null; rows that share an identifier are documents of their own that
-have the identifier in common; an empty table gives an empty result; other columns are not read.
+have the identifier in common; very long texts are compared whole, a slice of their own each; of equally likely candidates the smaller number is
+tried first, which changes no component; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.parallel import dealt
-from .common import Scratch, documents, list_array, mix, shingles, slices
+from .common import Scratch, documents, list_array, mix, ranges, shingles, slices
 from .graph import components
 
 WIDTH = 5
@@ -37,6 +39,8 @@ BANDS, ROWS = 40, 4
 SAMPLES, ODD_BITS = 4096, 2048
 MARGIN = 6
 ROUNDS, DELEGATES = 2, 4
+DIRECT, BUCKET = 100, 1.1
+CELL_BITS, SLICE_BITS = 20, 14
 LAST = (1 << 63) - 1
 
 
@@ -114,6 +118,103 @@ def _likely(a: str, b: str) -> tuple[Column, Column]:
     return -differ / taken, sizes & near
 
 
+def _apart() -> Column:
+    """Rows x and y of one key that stand in different components; each pair of outsiders once."""
+    return (F.col("x.g") != F.col("y.g")) & ((F.col("y.g") == F.col("y.major")) | (F.col("x.c") < F.col("y.c")))
+
+
+def _bucket(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(BUCKET) + 1e-9).astype(np.int64)
+
+
+def _packed(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Counts of cells, a row for each slice of the order's table."""
+    own = np.flatnonzero(np.r_[True, np.diff(at >> SLICE_BITS) > 0]) if len(at) else at
+    bounds = pa.array(np.append(own, len(at)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (at, n)]
+    return pa.record_batch([pa.array(at[own] >> SLICE_BITS), *lists], names=["slice", "cells", "counts"])
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often shingles (set) fall in each cell of the order's table, in this task."""
+    count = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        h = batch.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        at, n = np.unique((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), return_counts=True)
+        count[at] += n
+    at = np.flatnonzero(count)
+    yield _packed(at, count[at])
+
+
+def _cell_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a slice over all tasks."""
+    count, base = np.zeros(1 << SLICE_BITS, np.int64), 0
+    for batch in batches:
+        at = batch.column("cells").flatten().to_numpy(zero_copy_only=False)
+        base = int(at[0]) >> SLICE_BITS << SLICE_BITS if len(at) else base
+        np.add.at(count, at - base, batch.column("counts").flatten().to_numpy(zero_copy_only=False))
+    at = np.flatnonzero(count)
+    yield _packed(at + base, count[at])
+
+
+def _prefixes(often):
+    """Of each class (c, g, set) the shingles at which a linked set may first meet it, by pairs of size buckets (own, other)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = often.value
+        for batch in batches:
+            lists = batch.column("set")
+            h, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            seen = count[(h.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+            order = np.lexsort((h, seen, of))
+            h, of, seen = h[order], of[order], seen[order]
+            size = np.diff(offsets)[of]
+            at = np.arange(len(h)) - (offsets[:-1] - offsets[0])[of]
+            # partners' sizes: the least by the threshold, the most by what is left of this set from here on
+            least, most = -(-size * THRESHOLD // 100), np.minimum(size * 100 // THRESHOLD, (size - at) * (100 + THRESHOLD) // THRESHOLD - size)
+            keep = np.flatnonzero((seen > 1) & (most >= least))  # what is counted once is in no other set
+            h, of, size, at = h[keep], of[keep], size[keep], at[keep]
+            first, last = _bucket(least[keep]), _bucket(most[keep])
+            other, i = ranges(first, last - first + 1)
+            own, rows = _bucket(size)[i], pa.array(of[i])
+            columns = [batch.column("c").take(rows), batch.column("g").take(rows), *(pa.array(x.astype(np.int64)) for x in (size[i], at[i], h[i], own, other, np.minimum(own, other), np.maximum(own, other)))]
+            yield pa.record_batch(columns, names=["c", "g", "n", "at", "token", "own", "other", "lo", "hi"])
+
+    return run
+
+
+def _sharing_rare_shingles(scratch: Scratch, sets: DataFrame, chosen: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the chosen classes (c, g: component) in different components that may be linked: an exact prefix filter, then the sketches (c, samples, bitmap words).
+
+    Shingles are put in one order for all sets, the rarest first, by counts in a table of 2^CELL_BITS cells (any order is exact). If two sets of n and m
+    shingles are linked they share at least (n + m) * 3 / 7, so the first one that they share is so early in both that this many are left. A shingle is
+    therefore kept only at such places, for each bucket of partners' sizes separately: copies that differ in as many rare shingles as makes them
+    unlinked meet nowhere.
+    """
+    spark = sets.sparkSession
+    own = sets.join(chosen, F.col("id") == F.col("c")).select("c", "g", "set").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = scratch.table(own, "chosen")
+    packed = "slice long, cells array<long>, counts array<long>"
+    found = own.select("set").mapInArrow(_cell_counts, packed).groupBy("slice").applyInArrow(_cell_sums, packed).toArrow()  # 2^CELL_BITS counts at most
+    often = np.zeros(1 << CELL_BITS, np.int64)
+    if found.num_rows:
+        found = found.combine_chunks()
+        often[found["cells"].chunk(0).flatten().to_numpy()] = found["counts"].chunk(0).flatten().to_numpy()
+    rows = own.mapInArrow(_prefixes(spark.sparkContext.broadcast(often)), "c long, g long, n long, at long, token long, own long, other long, lo long, hi long")
+    rows = scratch.table(rows, "prefixes")
+    key = ["token", "lo", "hi"]
+    count = rows.groupBy(*key, "g").agg(F.count("*").alias("size"))
+    major = count.groupBy(*key).agg(F.max_by("g", F.struct("size", "g")).alias("major"), F.count("*").alias("groups")).filter("groups > 1").drop("groups")
+    met = scratch.table(rows.join(scratch.table(major, "prefix-major"), key), "met")
+    signed = met.join(sketches, "c")
+    outer, inner = signed.filter("g <> major").alias("x"), signed.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    left = [(F.col(f"{t}.n") - F.col(f"{t}.at")) * (100 + THRESHOLD) >= both * THRESHOLD for t in "xy"]
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    return outer.join(inner, same & _apart() & left[0] & left[1] & _likely("x", "y")[1]).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession)
@@ -124,11 +225,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.table(classes, "classes")
     # rows that share identifier and set are one class; of its signatures, which are equal, one is taken
     sketch = signed.join(classes.select("id", "s1", "s2", "n"), ["s1", "s2", "n"]).filter("doc_id = id").dropDuplicates(["id", "s1", "s2"])
-    # a class goes by a number of its own, as two classes may have one smallest identifier
-    sketch = scratch.table(sketch.select(F.xxhash64("s1", "s2", "n").alias("c"), "id", "n", "s1", "s2", "samples", *odd, "bands"), "sketch")
+    # a class goes by a number of its own, unique as it is written once: two classes may have one smallest identifier
+    sketch = scratch.table(sketch.select(F.monotonically_increasing_id().alias("c"), "id", "n", "s1", "s2", "samples", *odd, "bands"), "sketch")
 
+    # what rows of a band or a component meet is a table of its own, so that a join can deal the rows of a hot one to several tasks
     every = sketch.select("c", F.posexplode("bands").alias("band", "key"))
     shared = every.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("star")).filter("size > 1")
+    shared = scratch.table(shared, "shared")
     banded = scratch.table(every.join(shared, "key").select("key", "band", "c", "star"), "banded")
     members = banded.select("c").distinct()
     some = scratch.table(sketch.join(members, "c", "left_semi"), "some")
@@ -156,28 +259,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         row = banded.join(of, banded.c == of.id, "left").select("key", "band", "c", F.coalesce("component", "c").alias("g"))
         count = row.groupBy("key", "g").agg(F.count("*").alias("size"))
         major = count.groupBy("key").agg(F.max_by("g", F.struct("size", "g")).alias("major"), F.count("*").alias("groups")).filter("groups > 1").select("key", "major")
-        return scratch.table(row.join(major, "key"), f"{name}-rows")
+        return scratch.table(row.join(scratch.table(major, f"{name}-major"), "key"), f"{name}-rows")
 
     links = confirmed(estimated(banded.filter("c <> star").select(F.col("c").alias("a"), F.col("star").alias("b")).distinct(), 3), "links-0")
     for r in range(ROUNDS):
         row = grouped(links, f"round-{r}")
         picks = [F.min_by("c", F.xxhash64("c", F.lit(r * DELEGATES + i))) for i in range(DELEGATES)]
         heads = row.filter("g = major").groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("heads"))
+        heads = scratch.table(heads, f"heads-{r}")
         near = row.filter("g <> major").join(heads, "key").select(F.col("c").alias("a"), F.explode("heads").alias("b")).distinct()
         links = scratch.table(links.unionByName(confirmed(estimated(near, 3), f"more-{r}")), f"links-{r + 1}")
     row = grouped(links, "rest")
-    full = row.join(some.select("c", "n", "samples", "bands", *odd), "c")
+    wide = scratch.table(row.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > DIRECT).select("key"), "wide")
+    # small bands: all that stand outside the largest component meet the band
+    full = row.join(wide, "key", "left_anti").join(some.select("c", "n", "samples", "bands", *odd), "c")
     outer, inner = full.filter("g <> major").alias("x"), full.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.g") != F.col("y.g")) & ((F.col("y.g") == F.col("y.major")) | (F.col("x.c") < F.col("y.c")))
     # once for each pair: in the first band that it shares
     earlier = F.arrays_overlap(*[F.slice(F.col(f"{t}.bands"), F.lit(1), F.col("x.band")) for t in "xy"])
-    pairs = outer.join(inner, meet & _likely("x", "y")[1] & ~earlier).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    pairs = outer.join(inner, (F.col("x.key") == F.col("y.key")) & _apart() & _likely("x", "y")[1] & ~earlier).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     links = links.unionByName(confirmed(pairs, "links-rest"))
+    # wide bands: their members meet where they share rare shingles
+    near = _sharing_rare_shingles(scratch, sets, row.join(wide, "key", "left_semi").select("c", "g").distinct(), some.select("c", "samples", *odd))
+    links = links.unionByName(confirmed(near, "links-wide"))
     of = components(scratch, links, "final")
 
     # components are named by their smallest document
     named = sketch.select("c", "id", "s1", "s2", "n").join(of.withColumnRenamed("id", "of"), F.col("c") == F.col("of"), "left").withColumn("g", F.coalesce("component", "c"))
-    least = named.groupBy("g").agg(F.min("id").alias("component_id"))
+    least = scratch.table(named.groupBy("g").agg(F.min("id").alias("component_id")), "least")
     named = named.join(least, "g").select("s1", "s2", "n", "component_id")
     out = signed.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -208,12 +316,12 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows that share an identifier stay or go together; of those with one text too, one stays.
     """
-    ids = near_duplicates(docs, id_col, text_col).filter("kept").select("doc_id").distinct()
-    # the row travels as one column, so names of its own cannot clash with those used here
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
-    joined = rows.join(ids, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LAST))
+    ids = near_duplicates(docs, id_col, text_col).filter("kept").select(whole("doc_id").alias("id")).distinct()
+    # the row travels as one column, so names of its own cannot clash with those used here; the join deals rows as the window needs them
+    rows = docs.select(F.struct(*docs.columns).alias("row"), whole(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
     again = Window.partitionBy("id", "h").orderBy(F.xxhash64("row"))
-    first = joined.withColumn("nth", F.row_number().over(again)).filter(F.col("nth") == 1)
+    first = rows.join(ids, "id", "left_semi").withColumn("nth", F.row_number().over(again)).filter(F.col("nth") == 1)
     return first.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

@@ -8,6 +8,7 @@ import pytest
 from conftest_llm import make, prose
 
 from cladewise.llm import exact_dedup, minhash_dedup, substring_dedup
+from cladewise.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -194,6 +195,41 @@ def random_pair(rng, union, share, own):
     return u[:cut], np.concatenate([u[:common], u[cut:]])
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_wide_bands_lose_no_link(spark, monkeypatch, seed):
+    """All bands count as wide, so what the last round finds comes from rare shingles: components are those of all links."""
+    monkeypatch.setattr(minhash_dedup, "DIRECT", 0)
+    monkeypatch.setattr(minhash_dedup, "ROUNDS", 0)
+    rng = random.Random(seed)
+    texts = family(rng, 60)
+    for _ in range(3):
+        base = prose(rng, rng.randrange(8, 90)).split(" ")
+        for _ in range(25):
+            w = base[: rng.randrange(len(base) * 3 // 4, len(base) + 1)]
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(20)}"
+            texts.append(" ".join(w))
+    got = minhash_dedup.near_duplicates(make(spark, texts)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute_near(list(enumerate(texts)))
+
+
+def test_rare_shingles_find_every_link(spark):
+    """The prefix filter alone against all pairs of random sets, each a component of its own."""
+    rng, sets = random.Random(3), []
+    for _ in range(12):
+        base = rng.sample(range(400), rng.randrange(1, 60))
+        for _ in range(8):
+            own = set(base) - set(rng.sample(base, rng.randrange(1 + len(base) // 4)))
+            sets.append(sorted((own or set(base)) | {1000 + rng.randrange(300) for _ in range(rng.randrange(1 + len(base) // 5))}))
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})}
+    table = spark.createDataFrame(list(enumerate(sets)), "id long, set array<long>")
+    chosen = spark.createDataFrame([(i, i) for i in range(len(sets))], "c long, g long")
+    hashes = np.random.default_rng(1).integers(1 << 63, size=2000, dtype=np.int64).astype(np.uint64)
+    sketches = sketched(spark, [hashes[s] for s in sets]).withColumnRenamed("i", "c").drop("n")
+    got = {tuple(sorted(r)) for r in minhash_dedup._sharing_rare_shingles(Scratch(spark), table, chosen, sketches).collect()}
+    assert links <= got and len(links) > 50 and len(got) < 0.1 * len(sets) * (len(sets) - 1) / 2
+
+
 @pytest.mark.parametrize("union", [1, 4, 9, 40, 167, 700, 2500, 4600, 7000, 20000])
 def test_sketches_keep_pairs_at_the_threshold_and_refute_those_below(spark, union):
     rng, count = np.random.default_rng(union), 300 if union < 3000 else 60
