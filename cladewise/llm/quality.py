@@ -10,7 +10,7 @@ its tail probability, that of the grade ``good`` or better, by which it is kept
 Scoring reads every text whole and adds weights word by word; no text is shuffled, and the broadcast model has 2^BITS weights.
 
 Defined cases: null text is scored as empty text (no features: thresholds alone decide); null ratings and ratings without a document are not
-learned; repeated rows are scored each; with fewer than two grades rated every document gets that grade (kept, if there is none);
+learned; repeated rows are scored each, very long texts whole; a probability of just ``KEEP`` is kept; an empty table gives an empty result; with fewer than two grades rated every document gets that grade (kept, if there is none);
 other columns are not read.
 """
 

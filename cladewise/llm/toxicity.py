@@ -7,7 +7,7 @@ back to the share of the label among all labelled rows of the training fold. Fea
 up and adds the weights of the distinct ones; no text is shuffled.
 
 Defined cases: null text is scored as empty text, which has the intercept's score; null labels and labels without a document are not
-learned; repeated rows are scored each; without both labels in training every score is the share of label 1 (0 if there is none); other
+learned; repeated rows are scored each, very long texts whole; a score of just ``CUT`` counts as label 1; an empty table gives an empty result; without both labels in training every score is the share of label 1 (0 if there is none); other
 columns are not read.
 """
 
