@@ -7,6 +7,7 @@ memory of a Python worker follows ``SLICE_BYTES`` (or the longest single documen
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +72,11 @@ class Scratch:
             fs.delete(path, True)
             self.names.discard(name)
 
+    def settle(self) -> None:
+        """Has the driver collect its garbage: what it holds of plans that are done (broadcast tables, records of shuffles) goes only then."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def clear(self, *kept: str) -> None:
         """Deletes all tables but those that the result reads."""
         self.drop(*self.names - set(kept))

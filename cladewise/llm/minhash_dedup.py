@@ -238,6 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = some.select("id", "c", "s1", "s2")
     texts = rows.join(chosen, rows.doc_id == chosen.id).select(F.col("c").alias("id"), "text", "s1", "s2")
     sets = scratch.table(_matching(texts), "sets")
+    scratch.settle()
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
@@ -269,6 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = scratch.table(heads, f"heads-{r}")
         near = row.filter("g <> major").join(heads, "key").select(F.col("c").alias("a"), F.explode("heads").alias("b")).distinct()
         links = scratch.table(links.unionByName(confirmed(estimated(near, 3), f"more-{r}")), f"links-{r + 1}")
+        scratch.settle()
     row = grouped(links, "rest")
     wide = scratch.table(row.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > DIRECT).select("key"), "wide")
     # small bands: all that stand outside the largest component meet the band
@@ -278,9 +280,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     earlier = F.arrays_overlap(*[F.slice(F.col(f"{t}.bands"), F.lit(1), F.col("x.band")) for t in "xy"])
     pairs = outer.join(inner, (F.col("x.key") == F.col("y.key")) & _apart() & _likely("x", "y")[1] & ~earlier).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     links = links.unionByName(confirmed(pairs, "links-rest"))
+    scratch.settle()
     # wide bands: their members meet where they share rare shingles
     near = _sharing_rare_shingles(scratch, sets, row.join(wide, "key", "left_semi").select("c", "g").distinct(), some.select("c", "samples", *odd))
     links = links.unionByName(confirmed(near, "links-wide"))
+    scratch.settle()
     of = components(scratch, links, "final")
 
     # components are named by their smallest document

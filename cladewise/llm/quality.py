@@ -128,14 +128,23 @@ def fit(rows: DataFrame, given: DataFrame, per_grade: int = PER_GRADE, epochs: i
     grades = sorted(count)
     if len(grades) < 2:
         return grades, np.zeros(1 << BITS), np.zeros(0), np.ones(1)
-    rows = sorted(sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(_extract, FEATURES).toPandas().itertuples(index=False), key=lambda r: (r.id * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r.grade))
-    number = {g: i for i, g in enumerate(grades)}
-    each = [(np.asarray(r.features), np.asarray(r.counts) / max(1, r.n), number[r.grade]) for r in rows]
+    found = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(_extract, FEATURES).toArrow()
+    # flat arrays: an object for each row and list would take the driver's memory for good
+    ids, graded, n = (found[c].to_numpy() for c in ("id", "grade", "n"))
+    lists = found["features"].combine_chunks()
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    feature, times = lists.flatten().to_numpy(), found["counts"].combine_chunks().flatten().to_numpy()
+    del found, lists
+    order = np.lexsort((graded, ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    y = np.searchsorted(grades, graded)
     model = CumulativeLink(len(grades))
     for _ in range(epochs):
-        for row in each:
-            model.learn(*row)
-    drawn = np.bincount([y for *_, y in each], minlength=len(grades))
+        for i in order:
+            own = slice(bounds[i], bounds[i + 1])
+            model.learn(feature[own], times[own] / max(1, n[i]), int(y[i]))
+    drawn = np.bincount(y, minlength=len(grades))
+    del feature, times
+    pa.default_memory_pool().release_unused()
     prior = np.array([count[g] for g in grades]) / np.maximum(drawn, 1)
     return grades, model.w, model.thresholds(), prior / prior.max()
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -241,3 +242,19 @@ def test_quality_filter_carries_rows(spark):
 @pytest.mark.parametrize("op", [lambda d, l: language_id.identify(d, F.lit(False)), lambda d, l: toxicity.toxicity(d, l, F.lit(False)), lambda d, l: quality.rate_quality(d, l, F.lit(False)), quality.keep_quality])
 def test_empty_table(spark, op):
     assert op(make(spark, []), labels(spark, [(1, 1, 0), (2, 0, 1)])).count() == 0
+
+
+def test_quality_is_learned_from_flat_arrays(spark):
+    """What the driver takes while it learns is the model and little beside it, not objects for each row and feature."""
+    rng = random.Random(31)
+    rows = 800
+    docs = spark.createDataFrame([(i, prose(rng, 500, 100_000)) for i in range(rows)], "id long, text string")
+    given = spark.createDataFrame([(i, i % 2) for i in range(rows)], "id long, grade int")
+    tracemalloc.start()
+    try:
+        grades, weights, *_ = quality.fit(docs, given, epochs=1)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert grades == [0, 1] and np.count_nonzero(weights)
+    assert most < 2 * weights.nbytes + 1.5e6
