@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,12 +45,12 @@ def expand_mask(mask: int, factor: int) -> int:
 
 
 def expand_mask_col(mask: Column, factor: int) -> Column:
+    """As ``expand_mask``, on all 64 bits of a BIGINT."""
     if not 0 < factor <= 64:
         return mask
-    wide = (1 << factor) - 1
-    n = min(64 // factor, 63 // factor)
-    bit = lambda i: F.call_function("getbit", mask, i)
-    return F.aggregate(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, factor) + bit(i) * F.lit(wide).cast("long"))
+    wide = F.lit((1 << factor) - 1 if factor < 64 else -1).cast("long")
+    bits = [F.shiftleft(F.call_function("getbit", mask.cast("long"), F.lit(i)).cast("long") * wide, factor * i) for i in range(64 // factor)]
+    return reduce(Column.bitwiseOR, bits)
 
 
 def seed_mask(length: int, spaces: int) -> int:

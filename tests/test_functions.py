@@ -72,6 +72,14 @@ def test_seed_masks():
         S.seed_template(31, 8)
 
 
+def test_masks_expand_to_all_64_bits(spark):
+    values = [0, 5, (1 << 20) - 1, 1 << 20, 1199999, 1 << 31, U64 >> 1, U64]
+    df = spark.createDataFrame([(H.signed(v),) for v in values] + [(None,)], "x long")
+    for factor in (1, 2, 3, 32, 33, 64):
+        got = [r.m for r in df.select(S.expand_mask_col(F.col("x"), factor).alias("m")).collect()]
+        assert got == [H.signed(S.expand_mask(v, factor)) for v in values] + [None], factor
+
+
 def test_sizes(spark):
     assert [S.parse_size(x) for x in ("1G", "1M", "1k", "1.5G")] == [1 << 30, 1 << 20, 1024, 1610612736]
     for bad in ("1B", "G", "", "xM"):
