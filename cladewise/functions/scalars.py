@@ -81,9 +81,11 @@ def format_bytes(size: float) -> str:
 
 
 def format_bytes_col(size: Column) -> Column:
-    out = F.format_string("%.2f" + BYTE_SUFFIXES[-1], size / float(1 << 10 * (len(BYTE_SUFFIXES) - 1)))
+    """As ``format_bytes`` (ties of the last place to the even digit, which ``format_string`` rounds up); null for null."""
+    text = lambda i: F.concat(F.call_function("format_number", size.cast("double") / float(1 << 10 * i), F.lit("0.00")), F.lit(BYTE_SUFFIXES[i]))
+    out = text(len(BYTE_SUFFIXES) - 1)
     for i in reversed(range(len(BYTE_SUFFIXES) - 1)):
-        out = F.when(size < float(1 << 10 * (i + 1)), F.format_string("%.2f" + BYTE_SUFFIXES[i], size / float(1 << 10 * i))).otherwise(out)
+        out = F.when(size < float(1 << 10 * (i + 1)), text(i)).otherwise(out)
     return out
 
 

@@ -90,6 +90,12 @@ def test_sizes(spark):
     assert [r.n for r in rows] == [1 << 30, 1572864, None, None]
 
 
+def test_formatted_sizes_of_ties_and_nulls(spark):
+    sizes = [0.0, 0.005, 1.005, 1152.0, 1408.0, 1023.995, 1048576.0 * 2.675, 16.0 * 262144**2, 16.0 * 8999999**2, 2.0**63, 2.0**75, -784.0]
+    rows = spark.createDataFrame([(x,) for x in [*sizes, None]], "x double").select(S.format_bytes_col(F.col("x")).alias("t")).collect()
+    assert [r.t for r in rows] == [*map(S.format_bytes, sizes), None]
+
+
 @given(st.text("ACGTN", max_size=80), st.sampled_from([M.Scheme(12, 8, 2), M.Scheme(9, 9, 0, 0), M.Scheme(10, 7, 0)]))
 def test_scan_against_definition(seq, scheme):
     """Each k-mer by its definition."""
