@@ -94,14 +94,13 @@ def estimate_capacity(spark, sf_dir):
 
 @query(f"with {READS_SQL}, {kmers_sql('k', 'reads', PLAIN)} select count(*) as kmers, count(distinct m) as \"distinct\" from k")
 def distinct_kmers_exact(spark, sf_dir):
-    found = minimizers.minimizers(reads_s(spark, sf_dir), PLAIN, ["read_index"])
-    return found.agg(F.count("*").alias("kmers"), F.count_distinct("hash").alias("distinct"))
+    return minimizers.distinct(reads_s(spark, sf_dir), PLAIN)
 
 
 @query()
 def distinct_kmers_hll(spark, sf_dir):
     """Sketches by read bucket, merged: an estimate."""
-    found = minimizers.minimizers(reads_s(spark, sf_dir), PLAIN, ["read_index"])
+    found = minimizers.minimizers(reads_s(spark, sf_dir), PLAIN, ["read_index"], once=True)
     parts = found.groupBy(F.pmod("read_index", F.lit(16)).alias("part")).agg(F.hll_sketch_agg("hash", F.lit(16)).alias("sketch"))
     return parts.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
 
