@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -23,10 +24,22 @@ def cut(df: DataFrame) -> DataFrame:
 
     Where none is set and all runs on one machine (as in tests), to a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    _scratch(df.sparkSession)
+    return df.checkpoint()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """As ``cut``, for tables that may be large: written once to that folder (a checkpoint computes its plan twice) and read as files, whose size Spark knows."""
+    path = f"{_scratch(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _scratch(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="scratch-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()

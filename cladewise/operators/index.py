@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ RESERVE = 8192
 #: An index of at most so many bytes is broadcast when no mode is asked for; an entry takes so many in a broadcast hash table.
 BROADCAST_BYTES = 256 << 20
 ENTRY_BYTES = 48
+SIEVE_BITS = 28
 #: Spark broadcasts tables of fewer rows than 512 million.
 MOST_ENTRIES = 341_000_000
 
@@ -90,6 +93,28 @@ def index_bytes(capacity: Column) -> Column:
     return capacity * 4
 
 
+def sieve(index: DataFrame, entries: int) -> bytes | None:
+    """A bitmap of the low bits of the index's hashes, at most one bit in 64 set while its size allows it, for ``minimizers``: k-mers it lets through are those of the index and a few more.
+
+    It is made in pages by tasks and has 2^``SIEVE_BITS`` bits at most; none is made for an index that would set half of those.
+    """
+    bits = min(max(16, (64 * entries).bit_length()), SIEVE_BITS)
+    if 2 * entries > 1 << bits:
+        return None
+    at = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+    def fill(rows: pa.Table) -> pa.Table:
+        page = np.zeros(1 << 16, bool)
+        page[rows.column("bit").to_numpy()] = True
+        return pa.table({"page": rows.column("page")[:1], "bits": pa.array([np.packbits(page, bitorder="little").tobytes()], pa.binary())})
+
+    rows = index.select(F.shiftright(at, 16).alias("page"), at.bitwiseAND(F.lit(0xFFFF).cast("long")).alias("bit")).distinct()
+    out = bytearray(1 << bits - 3)
+    for r in rows.groupBy("page").applyInArrow(fill, "page long, bits binary").toLocalIterator():
+        out[r.page << 13 : r.page + 1 << 13] = r.bits
+    return bytes(out)
+
+
 def annotate(kmers: DataFrame, index: DataFrame, mode: str = "auto", entries: int | None = None) -> DataFrame:
     """Minimizers with the taxid of their index entry; those without one are left out.
 

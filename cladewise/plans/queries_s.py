@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parallel import staged
 from ..operators import index, minimizers, report, resolve
 from ..sources import fastx
 from .domains import FULL, PLAIN, SHORT, dna_sql, genomes_s, kmers_sql, murmur_steps, number_sql, pseudo_dna, reads_s, signed_sql, table, tree_s
@@ -143,7 +144,11 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    return index.annotate(minimizers.minimizers(reads_s(spark, sf_dir), PLAIN, ["read_index"]), _index(spark, sf_dir), mode)
+    """Hits of documents: k-mers without a bit in the index's sieve do not leave the kernel, the others meet the index."""
+    entries = staged(_index(spark, sf_dir))
+    n = entries.count()
+    found = minimizers.minimizers(reads_s(spark, sf_dir), PLAIN, ["read_index"], sieve=index.sieve(entries, n))
+    return index.annotate(found, entries, mode, n)
 
 
 @query(f"with {HITS_SQL} select read_index, cast(pos as int) as pos, taxid from hits")
@@ -179,9 +184,9 @@ strings as (select read_index, string_agg(taxid || ':' || n, ' ' order by first)
 
 
 def classified(spark: SparkSession, sf_dir: str, mode: str = "auto", confidence: float = 0.02) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Reads, hits, tree and calls of documents against the benchmark library."""
-    reads, hits, tree = reads_s(spark, sf_dir), _hits(spark, sf_dir, mode), tree_s(spark, sf_dir)
-    return reads, hits, tree, resolve.resolve(reads.drop("seq"), hits, tree, ["read_index"], confidence)
+    """Reads (without letters) and hits, both staged, tree and calls of documents against the benchmark library."""
+    reads, hits, tree = staged(reads_s(spark, sf_dir).drop("seq")), staged(_hits(spark, sf_dir, mode)), tree_s(spark, sf_dir)
+    return reads, hits, tree, resolve.resolve(reads, hits, tree, ["read_index"], confidence)
 
 
 @query(f"with {CALLS_SQL}, {POSITIONS_SQL} select 0 as file_index, case when call > 0 then 'C' else 'U' end as status, 'doc_' || c.read_index as read_id, cast(call as bigint) as taxid, cast(length as varchar) as seq_len, coalesce(hit_string, '') as hit_string from calls c left join strings using (read_index)")
@@ -202,7 +207,8 @@ select cast(row_number() over (order by key) - 1 as int) as ord, 100.0 * clade_r
 def report_documents(spark, sf_dir):
     """The report of that classification."""
     _, _, tree, calls = classified(spark, sf_dir)
-    return report.kreport(tree, report.clade_counts(calls, tree), report.totals(calls))
+    counts = staged(report.call_counts(calls))
+    return report.kreport(tree, report.clade_counts(counts, tree), report.totals(counts))
 
 
 QUERIES["minimizers"], SQL["minimizers"] = QUERIES.pop("minimizers_kernel"), SQL.pop("minimizers_kernel")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cladewise.operators import index
 from cladewise.operators import minimizers as M
 from cladewise.plans import domains, queries_s
 
@@ -38,3 +39,24 @@ def test_distinct_hashes_are_packed(spark, monkeypatch, tmp_path, packed):
 def test_no_hash_is_shuffled_as_a_row(spark):
     plan = queries_s.distinct_kmers_exact(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(part" in plan and "hashpartitioning(hash" not in plan
+
+
+def test_sieve_lets_all_entries_through_and_little_else(spark):
+    rng = np.random.default_rng(7)
+    own, other = (rng.integers(0, 1 << 64, 30000, np.uint64) for _ in range(2))
+    entries = spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "hash long")
+    bits = np.frombuffer(index.sieve(entries, len(own)), np.uint8)
+    assert M.in_sieve(bits, own).all() and M.in_sieve(bits, other).mean() < 0.1
+    assert not M.in_sieve(np.frombuffer(index.sieve(entries.limit(0), 0), np.uint8), own).any()
+    assert index.sieve(entries, 1 << 28) is None
+
+
+def test_kmers_that_the_index_lacks_do_not_leave_the_kernel(spark):
+    hits = queries_s._hits(spark, SF, "shuffle")
+    found = M.minimizers(domains.reads_s(spark, SF), domains.PLAIN, ["read_index"])
+    entries = queries_s._index(spark, SF)
+    n = entries.count()
+    passed = M.minimizers(domains.reads_s(spark, SF), domains.PLAIN, ["read_index"], sieve=index.sieve(entries, n))
+    assert passed.count() < found.count() / 5
+    same = lambda kmers: sorted(map(tuple, index.annotate(kmers, entries, "shuffle").select("read_index", "pos", "taxid").collect()))
+    assert same(passed) == same(found) == sorted(map(tuple, hits.select("read_index", "pos", "taxid").collect()))
